@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .packing import op7_best_fit_packing
+from .sentencepiece_viterbi import op9_sentencepiece
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": op3_line_dedup}
+    return {
+        "op3_line_dedup": op3_line_dedup,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op9_sentencepiece": op9_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
