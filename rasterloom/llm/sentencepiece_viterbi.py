@@ -35,9 +35,9 @@ _MODELS: dict[str, Pieces] = {}
 
 
 class Pieces:
-    """The pieces of a model file as a trie: a node is {character: node}, and under "" its (id, score)."""
+    """The pieces of a model file as a trie of {character: (children, id or -1, score)}."""
 
-    def __init__(self, path: str, keep: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 48):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -52,13 +52,13 @@ class Pieces:
                 self.byte_ids[int(p.piece[3:5], 16)] = i
                 self.surface[i] = bytes([int(p.piece[3:5], 16)])
             elif p.type in (1, 4):
-                node = self.trie
-                for c in p.piece:
-                    node = node.setdefault(c, {})
-                node[""] = (i, p.score)
+                children = self.trie
+                for c in p.piece[:-1]:
+                    children = children.setdefault(c, ({}, -1, 0.0))[0]
+                children[p.piece[-1]] = (children.get(p.piece[-1], ({},))[0], i, p.score)
                 lowest, self.length = min(lowest, p.score), max(self.length, len(p.piece))
                 self.inner_space |= SPACE in p.piece.lstrip(SPACE)
-                self.surface[i] = p.piece.replace(SPACE, " ").encode()
+                self.surface[i] = p.piece.encode()
             elif p.type == 2:
                 unknown = i
         self.unknown_score = lowest - 10
@@ -75,8 +75,7 @@ class Pieces:
     def word(self, run: str) -> bytes:
         found = self.known.get(run)
         if found is None:
-            viterbi = Streaming(self)
-            found = np.array([*viterbi.feed(run), *viterbi.finish()], "<u4").tobytes()
+            found = np.array([k for ids in stream(self, (run,)) for k in ids], "<u4").tobytes()
             if len(run) <= self.longest:
                 if len(self.known) >= self.keep:
                     self.known.clear()
@@ -93,88 +92,90 @@ class Pieces:
         return b"".join(map(self.word, _RUNS.findall(escaped)))
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-class Streaming:
-    """feed() characters, get the ids that have become final; finish() gives the rest. `peak`: the most boundaries held at once."""
-
-    def __init__(self, pieces: Pieces):
-        self.p, self.text, self.at, self.peak = pieces, "", 0, 0
-        self.far = 0  # the furthest boundary reached
-        self.best, self.back = [0.0], [None]  # by boundary, counted from the last commit: score, (start, id)
-
-    def feed(self, chars: str) -> list[int]:
-        self.text += chars
-        return self._run(len(self.text) - self.p.length)
-
-    def finish(self) -> list[int]:
-        out = self._run(len(self.text) - 1)
-        return out + (self._commit(len(self.text)) if self.text else [])
-
-    def _run(self, last: int) -> list[int]:
-        """Expand each boundary up to the last whose longest piece lies in the text so far."""
-        out: list[int] = []
-        p, trie = self.p, self.p.trie
-        while self.at <= last:
-            i, text, best, back = self.at, self.text, self.best, self.back
-            self.at += 1
-            score = best[i]
-            if score is None:
-                continue
-            if len(best) < i + p.length + 1:
-                more = i + p.length + 1 - len(best)
-                best += [None] * more
-                back += [None] * more
-                self.peak = max(self.peak, len(best))
-            node, single = trie, False
-            for j in range(i, min(i + p.length, len(text))):
-                node = node.get(text[j])
-                if node is None:
-                    break
-                if "" in node:
-                    single |= j == i
-                    k, s = node[""]
-                    if best[j + 1] is None or score + s > best[j + 1]:
-                        best[j + 1], back[j + 1] = score + s, (i, k)
-                        if j + 1 > self.far:
-                            self.far = j + 1
-            if not single:
-                if best[i + 1] is None or score + p.unknown_score > best[i + 1]:
-                    best[i + 1], back[i + 1] = score + p.unknown_score, (i, -1)
-                self.far = max(self.far, i + 1)
-            if self.far == self.at:
-                if self.at >= p.length:  # one boundary is left to extend
-                    step = self.at
-                    out += self._commit(step)
-                    last -= step
-            elif self.at >= 4 * p.length and self.at % p.length == 0 and (meet := self._meeting()):
-                out += self._commit(meet)
-                last -= meet
-        return out
-
-    def _meeting(self) -> int:
+def stream(p: Pieces, chunks, peak: list[int] | None = None):
+    """Lists of ids that have become final, for a text that comes in chunks. peak[0]: the most boundaries held at once.
+
+    Boundaries are counted from the last commit. best: their score; start and piece: the last
+    piece of the best path to them (None and -1: byte ids). Only boundaries up to one maximum
+    piece length ahead of `at` can be reached and still change.
+    """
+    length, root, unknown = p.length, p.trie, p.unknown_score
+    text, at, far = "", 0, 0
+    best, start, piece = [0.0], [0], [0]
+
+    def commit(end: int) -> list[int]:
+        ids, j = [], end
+        while j:
+            i = start[j]
+            if piece[j] >= 0:
+                ids.append(piece[j])
+            else:
+                ids.extend(p.byte_ids[b] for b in reversed(text[i:j].encode("utf-8", "surrogatepass")))
+            j = i
+        ids.reverse()
+        return ids
+
+    def meeting() -> int:
         """The last boundary on the paths to all boundaries that can still be extended; 0 if they meet only at the start."""
-        live = {j for j in range(self.at, self.far + 1) if self.best[j] is not None}
+        live = {j for j in range(at, far + 1) if best[j] is not None}
         while len(live) > 1:
             last = max(live)
             live.remove(last)
-            live.add(self.back[last][0])
+            live.add(start[last])
         return live.pop()
 
-    def _commit(self, end: int) -> list[int]:
-        """The ids on the path to this boundary; what lies before it is dropped."""
-        ids, j = [], end
-        while j:
-            i, k = self.back[j]
-            ids += [k] if k >= 0 else [self.p.byte_ids[b] for b in reversed(self.text[i:j].encode("utf-8", "surrogatepass"))]
-            j = i
-        base = self.best[end]
-        self.text, self.at, self.far = self.text[end:], max(0, self.at - end), self.far - end
-        self.best = [None if x is None else x - base for x in self.best[end:]]
-        self.back = [None, *((b[0] - end, b[1]) if b else None for b in self.back[end + 1 :])]
-        return ids[::-1]
+    for chunk in (*chunks, None):
+        text += chunk or ""
+        n = len(text)
+        stop = n if chunk is None else n - length + 1  # a boundary is extended when its longest piece lies in the text so far
+        while at < stop:
+            score = best[at]
+            if score is not None:
+                more = at + length + 1 - len(best)
+                if more > 0:
+                    best += [None] * more
+                    start += [0] * more
+                    piece += [0] * more
+                    if peak and len(best) > peak[0]:
+                        peak[0] = len(best)
+                children, j, single = root, at, False
+                for c in text[at : at + length]:
+                    node = children.get(c)
+                    if node is None:
+                        break
+                    children, k, s = node
+                    j += 1
+                    if k >= 0:
+                        s += score
+                        was = best[j]
+                        if was is None or s > was:
+                            best[j], start[j], piece[j] = s, at, k
+                            if j > far:
+                                far = j
+                        if j == at + 1:
+                            single = True
+                if not single:
+                    j = at + 1
+                    if best[j] is None or score + unknown > best[j]:
+                        best[j], start[j], piece[j] = score + unknown, at, -1
+                        if j > far:
+                            far = j
+            at += 1
+            if at >= length and at < n:
+                end = at if far == at else meeting() if at >= 4 * length and at % length == 0 else 0
+                if end:
+                    yield commit(end)
+                    base = best[end]
+                    text, at, far, n, stop = text[end:], at - end, far - end, n - end, stop - end
+                    best = [None if x is None else x - base for x in best[end:]]
+                    start, piece = [x - end for x in start[end:]], piece[end:]
+                    start[0] = 0
+        if chunk is None and n:
+            yield commit(n)
 
 
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
