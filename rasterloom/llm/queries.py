@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .fingerprints import op4_document_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op7_best_fit_packing
 from .sentencepiece_viterbi import op9_sentencepiece
+from .toxicity import op5_toxicity
+from .warc import op8_warc_round_trip
 
 
 def queries() -> dict:
     return {
         "op3_line_dedup": op3_line_dedup,
+        "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_toxicity": op5_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_warc_round_trip": op8_warc_round_trip,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
