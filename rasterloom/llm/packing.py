@@ -21,7 +21,9 @@ columns are not read. Ties in rank are broken by doc_id, piece and checksum.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left
 
 import numpy as np
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, table, written
 
 CAPACITY, END_ID = 2048, 0
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -40,17 +43,25 @@ _ENCODERS: dict[str, WordEncoder] = {}
 _ODD = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
 
 
+#: A Latin word with closing punctuation: two tokens before byte pairs are merged, the word lower-cased.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:%*#$&|]*)")
+
+
 class WordEncoder:
     """Token ids of texts as little-endian 32-bit bytes, each distinct word encoded once.
 
     The vocabulary's pre-tokeniser never joins across white space, so the ids of a text are those
-    of its words in turn; texts in which that could fail are encoded whole.
+    of its words in turn; texts in which that could fail are encoded whole. Nor does it join
+    letters with the punctuation after them, so plain words are kept as stem and tail. What is
+    kept is bounded: `words` words as they stand and `stems` stems, each cleared when full.
     """
 
-    def __init__(self, path: str, keep: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, words: int = 300_000, stems: int = 900_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.longest, self.known = Tokenizer.from_file(path), keep, longest, {}
+        self.tokenizer, self.words, self.stems, self.longest = Tokenizer.from_file(path), words, stems, longest
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -59,22 +70,41 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of these words among the known ones."""
+        cut = []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            stem = m[1].lower() if m else ""
+            cut.append((w, stem, m[2]) if m and len(stem) == len(m[1]) else (w, w, ""))
+        parts = self.parts
+        need = [x for x in {p for c in cut for p in c[1:]} if x not in parts]
+        if len(parts) + len(need) > self.stems:
+            parts.clear()
+            need = list({p for c in cut for p in c[1:]})
+        parts.update(zip(need, self._encode(need), strict=True))
+        self.known.update((w, parts[stem] + parts[tail]) for w, stem, tail in cut)
+        for x in need:
+            if len(x) > self.longest or not x:
+                del parts[x]
+        parts[""] = b""
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [t.split() if t and not _ODD.search(t) else None for t in texts]
-        new = set().union(*(w for w in split if w)) - self.known.keys()
+        known = self.known
+        new = set().union(*(w for w in split if w)) - known.keys()
         if new:
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
+            if len(known) + len(new) > self.words:
+                known.clear()
                 new = set().union(*(w for w in split if w))
-            order = list(new)
-            self.known.update(zip(order, self._encode(order), strict=True))
-        get = self.known.__getitem__
+            self._learn(new)
+        get = known.__getitem__
         out = [b"".join(map(get, w)) if w is not None else self._encode([t])[0] if t else b"" for t, w in zip(texts, split, strict=True)]
         for w in new:
             if len(w) > self.longest:
-                del self.known[w]
+                del known[w]
         return out
 
 
