@@ -30,7 +30,7 @@ from .common import IS_PUNCT, U, arrow_rows, gram_hashes, table, text_bytes, tok
 
 BITS, SAMPLE, THRESHOLD = 20, 20_000, 0.3
 FOLDS, HELD_OUT = 4, 2
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.0, 0.5, 3
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 0.5, 4
 
 
 def features(texts: pa.Array, slots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
