@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op4_document_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .ngram_jaccard import op2_ngram_jaccard_join
 from .packing import op7_best_fit_packing
 from .sentencepiece_viterbi import op9_sentencepiece
 from .toxicity import op5_toxicity
@@ -12,6 +13,7 @@ from .warc import op8_warc_round_trip
 
 def queries() -> dict:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_line_dedup": op3_line_dedup,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_toxicity": op5_toxicity,
