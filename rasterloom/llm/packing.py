@@ -43,25 +43,25 @@ _ENCODERS: dict[str, WordEncoder] = {}
 _ODD = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
 
 
-#: A Latin word with closing punctuation: two tokens before byte pairs are merged, the word lower-cased.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:%*#$&|]*)")
+_LATIN = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
+#: Texts in which a run of letters can end within a run of _LATIN, or lower-casing changes the number of characters.
+_OTHER = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]|'|<\\|")
+_UNITS = re.compile(f"[{_LATIN}]+|[^\\s{_LATIN}]+")
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, each distinct word encoded once.
+    """Token ids of texts as little-endian 32-bit bytes, each distinct unit encoded once.
 
-    The vocabulary's pre-tokeniser never joins across white space, so the ids of a text are those
-    of its words in turn; texts in which that could fail are encoded whole. Nor does it join
-    letters with the punctuation after them, so plain words are kept as stem and tail. What is
-    kept is bounded: `words` words as they stand and `stems` stems, each cleared when full.
+    The vocabulary lower-cases, and its pre-tokeniser never joins across white space, nor letters
+    with what is no letter (but after an apostrophe). The units of a text in Latin script are
+    therefore its lower-cased runs of letters and of other characters; those of other texts are
+    its words; and texts with special strings are encoded whole. `keep` bounds what is remembered.
     """
 
-    def __init__(self, path: str, words: int = 300_000, stems: int = 900_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.stems, self.longest = Tokenizer.from_file(path), words, stems, longest
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.tokenizer, self.keep, self.longest, self.known = Tokenizer.from_file(path), keep, longest, {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -72,39 +72,28 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of these words among the known ones."""
-        cut = []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            stem = m[1].lower() if m else ""
-            cut.append((w, stem, m[2]) if m and len(stem) == len(m[1]) else (w, w, ""))
-        parts = self.parts
-        need = [x for x in {p for c in cut for p in c[1:]} if x not in parts]
-        if len(parts) + len(need) > self.stems:
-            parts.clear()
-            need = list({p for c in cut for p in c[1:]})
-        parts.update(zip(need, self._encode(need), strict=True))
-        self.known.update((w, parts[stem] + parts[tail]) for w, stem, tail in cut)
-        for x in need:
-            if len(x) > self.longest or not x:
-                del parts[x]
-        parts[""] = b""
+    def _units(self, text: str | None) -> list[str] | None:
+        if not text:
+            return []
+        if not _OTHER.search(text):
+            return _UNITS.findall(text.lower())
+        return None if _ODD.search(text) else text.split()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split() if t and not _ODD.search(t) else None for t in texts]
+        units = [self._units(t) for t in texts]
         known = self.known
-        new = set().union(*(w for w in split if w)) - known.keys()
+        new = set().union(*(u for u in units if u)) - known.keys()
         if new:
-            if len(known) + len(new) > self.words:
+            if len(known) + len(new) > self.keep:
                 known.clear()
-                new = set().union(*(w for w in split if w))
-            self._learn(new)
+                new = set().union(*(u for u in units if u))
+            order = list(new)
+            known.update(zip(order, self._encode(order), strict=True))
         get = known.__getitem__
-        out = [b"".join(map(get, w)) if w is not None else self._encode([t])[0] if t else b"" for t, w in zip(texts, split, strict=True)]
-        for w in new:
-            if len(w) > self.longest:
-                del known[w]
+        out = [self._encode([t])[0] if u is None else b"".join(map(get, u)) for t, u in zip(texts, units, strict=True)]
+        for u in new:
+            if len(u) > self.longest:
+                del known[u]
         return out
 
 
