@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ctw import op10_lm_ctw
 from .fingerprints import op4_document_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .ngram_jaccard import op2_ngram_jaccard_join
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_warc_round_trip": op8_warc_round_trip,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_lm_ctw": op10_lm_ctw,
     }
 
 
