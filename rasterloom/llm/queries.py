@@ -6,6 +6,7 @@ from .ctw import op10_lm_ctw
 from .fingerprints import op4_document_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .ngram_jaccard import op2_ngram_jaccard_join
+from .nn_descent import op6_nn_descent
 from .packing import op7_best_fit_packing
 from .sentencepiece_viterbi import op9_sentencepiece
 from .toxicity import op5_toxicity
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_line_dedup": op3_line_dedup,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_toxicity": op5_toxicity,
+        "op6_nn_descent": op6_nn_descent,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_warc_round_trip": op8_warc_round_trip,
         "op9_sentencepiece": op9_sentencepiece,
