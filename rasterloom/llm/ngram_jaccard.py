@@ -15,11 +15,12 @@ one class from the start (a 64-bit signature of the set), so copies cost nothing
    (up to a boundary size) enumerate the 2-subsets of that prefix (k = 2); heavy sets scan the
    inverted lists of the prefix shingles (k = 1), in which light sets lie too. The boundary is
    chosen by cost, from counts over all sets by size.
-4. A list of classes with a common key must not become all its pairs, so links are sought where they
-   can still join something: first each member against the list's most central member (fewest
-   shingles of its own), checked exactly; components are formed; lists that lie within one
-   component are done. The same again, and then every pair of a list that lies in two different
-   components and was not checked yet. After that no unchecked pair could change a component.
+4. A list of classes with a common key must not become all its pairs. Lists with the same most
+   central member (the hub: fewest shingles of its own) are one group. Each member is checked against
+   the hub, exactly, and components are formed; a group that is one component is done. In the
+   others, what lies outside the hub's component is compared with all of the group, in blocks of
+   bounded size by matrix products, of which only the pairs that join components come out. After
+   that every two classes with a common key are checked, or known to be in one component.
 
 Each step is an aggregate that combines before the shuffle, or a join that the adaptive planner
 can split, so a list that a third of all classes lie in has no task of its own.
@@ -46,8 +47,10 @@ from .components import components
 
 WORDS, PERCENT, HOT = 5, 75, 0.02
 POSTINGS, FLUSH = 4_000_000, 1_000_000
-#: What a subset costs to enumerate, in list entries read.
-SUBSET_COST = 3
+#: What a list entry costs to read in a block comparison, in rows shuffled; a subset or list entry to write costs one.
+SCAN_COST = 0.001
+#: Shingles in a block of sets that is compared with another, and columns of the comparison's matrices.
+BLOCK_SHINGLES, COLUMNS = 150_000, 4096
 LOCAL_HOT = 0.015
 
 
@@ -69,7 +72,8 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
         docs.append(doc[on])
         grams.append(g[on])
     doc, g = np.concatenate(docs), np.concatenate(grams)
-    order = np.lexsort((g, doc))
+    bits = U(max(1, n.bit_length()))
+    order = np.argsort((doc.astype(U) << (U(64) - bits)) | (g >> bits))  # equal shingles of a document lie side by side
     doc, g = doc[order], g[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
@@ -189,7 +193,7 @@ def _counted(buckets: int):
         parts = [_unpacked(x.as_py()) for x in rows["blob"]]
         sig, low = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         del parts
-        order = np.lexsort((sig, low))
+        order = np.argsort((low << U(24)) | (sig >> U(40)))
         sig, low = sig[order], low[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (low[1:] != low[:-1])
@@ -285,14 +289,14 @@ def boundary(left: DataFrame, percent: int = PERCENT) -> int:
     """The largest size for which enumerating subsets is cheaper than scanning lists, over all sets up to it and beyond it."""
     step = F.floor(F.log2("n") * 8)
     k = _prefix(percent) + 1 - F.col("single")
-    cost = left.groupBy(step.alias("step")).agg(F.max("n").alias("n"), F.sum(k * (k - 1) / 2 * SUBSET_COST).alias("light"), F.sum("scan").alias("heavy")).orderBy("step").collect()  # at most 8 rows per doubling of the size
-    best, at, here = 0, 0, sum(r["heavy"] for r in cost)
+    cost = left.groupBy(step.alias("step")).agg(F.max("n").alias("n"), F.sum(k * (k - 1) / 2).alias("light"), F.sum(k - 1 + F.col("scan") * SCAN_COST).alias("heavy")).orderBy("step").collect()  # at most 8 rows per doubling of the size
+    best, here = 0, sum(r["heavy"] for r in cost)
     least = here
     for r in cost:
         here += r["light"] - r["heavy"]
         if here < least:
-            least, at = here, r["n"]
-    return max(best, at)
+            least, best = here, r["n"]
+    return best
 
 
 def _prefix(percent: int):
@@ -300,58 +304,125 @@ def _prefix(percent: int):
 
 
 def _keys(left: DataFrame, percent: int, light: int) -> DataFrame:
-    """(key, heavy_key, sig, n, heavy, alone): the subsets of light sets, and the list entries of all sets if any is heavy."""
+    """(key, lists, sig, heavy, alone): the subsets of light sets, and the list entries of all sets if any is heavy."""
     base = left.select("sig", "n", "shared", (F.col("single") / F.col("n")).alias("alone"), (F.col("n") > light).alias("heavy"), (_prefix(percent) - F.col("single")).cast("int").alias("k"))
     base = base.withColumn("one", F.slice("shared", F.lit(1), F.col("k"))).withColumn("two", F.slice("shared", F.lit(1), F.col("k") + 1))
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("two") - 1), lambda i: F.transform(F.slice("two", i + 1, F.size("two")), lambda x: F.xxhash64(F.element_at("two", i), x))))
-    subsets = base.where((F.col("n") <= light) & (F.size("two") >= 2)).select(F.explode(pairs).alias("key"), F.lit(False).alias("lists"), "sig", "n", "heavy", "alone")
-    if base.where("heavy").isEmpty():
-        return subsets
-    return subsets.unionByName(base.select(F.explode("one").alias("key"), F.lit(True).alias("lists"), "sig", "n", "heavy", "alone"))
+    subsets = base.where((F.col("n") <= light) & (F.size("two") >= 2)).select(F.explode(pairs).alias("key"), F.lit(False).alias("lists"), "sig", "heavy", "alone")
+    return subsets.unionByName(base.select(F.explode("one").alias("key"), F.lit(True).alias("lists"), "sig", "heavy", "alone"))
+
+
+def _groups_of(left: DataFrame, percent: int) -> DataFrame:
+    """(hub, sig): for each list its most central member and the others, lists of the same hub as one group."""
+    keys = written(_keys(left, percent, boundary(left, percent)), "keys")
+    hubs = keys.groupBy("key", "lists").agg(F.count(F.lit(1)).alias("c"), F.max("heavy").alias("h"), F.min(F.struct(~F.col("heavy"), "alone", "sig")).alias("m")).where("c > 1 and (h or not lists)")
+    hubs = hubs.select(F.col("key").alias("k"), F.col("lists").alias("l"), F.col("m.sig").alias("hub"))
+    found = keys.join(hubs, (keys["key"] == hubs["k"]) & (keys["lists"] == hubs["l"])).where("sig <> hub").select("hub", "sig").distinct()
+    return written(found, "groups")
 
 
 def _checked(pairs: DataFrame, left: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with whether they link."""
+    """Those of the pairs (a, b) that link."""
     side = lambda c: left.select(F.col("sig").alias(f"{c}_sig"), F.col("n").alias(f"{c}_n"), F.col("shared").alias(f"{c}_set"))
     both = pairs.join(side("a"), pairs["a"] == F.col("a_sig")).join(side("b"), pairs["b"] == F.col("b_sig"))
+    both = both.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return both.select("a", "b", (common * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).alias("link"))
+    return both.where(common * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b")
+
+
+def _joined(sig: np.ndarray, comp: np.ndarray, part: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sets in two blocks (part 0 and 1, or one block of part 0): pairs that make the components of the links across components within them."""
+    a = np.flatnonzero(part == 0)
+    b = np.flatnonzero(part == 1) if part.any() else a
+    value = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    value, index, count = np.unique(value, return_inverse=True, return_counts=True)
+    on = count[index] > 1
+    row, index = row[on], (np.cumsum(count > 1) - 1)[index[on]]
+    order = np.argsort(index, kind="stable")
+    row, index = row[order], index[order]
+    common = np.zeros((len(a), len(b)), np.float32)
+    place = np.zeros(len(sets), np.int64)
+    place[a] = np.arange(len(a))
+    same = b is a
+    if not same:
+        place[b] = np.arange(len(b))
+    for lo in range(0, int(index[-1]) + 1 if len(index) else 0, COLUMNS):
+        i, j = np.searchsorted(index, (lo, lo + COLUMNS))
+        r, c = row[i:j], index[i:j] - lo
+        x = np.zeros((len(a), COLUMNS), np.float32)
+        first = part[r] == 0
+        x[place[r[first]], c[first]] = 1
+        y = x
+        if not same:
+            y = np.zeros((len(b), COLUMNS), np.float32)
+            y[place[r[~first]], c[~first]] = 1
+        common += x @ y.T
+    link = (common * (100 + percent) >= (n[a][:, None] + n[b][None, :]) * percent) & (comp[a][:, None] != comp[b][None, :])
+    i, j = np.nonzero(link)
+    # spanning pairs of the components that these links and the known ones make: hook onto the smallest, jump, again
+    names, at = np.unique(comp, return_inverse=True)
+    u, v = at[a[i]], at[b[j]]
+    label = np.arange(len(names))
+    while len(u):
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def _compare(percent: int):
+    def run(batches):
+        for b in batches:
+            out = [[], []]
+            for k in range(len(b)):
+                rows = b.column(0)[k].values
+                sig, comp, part, n, shared = (rows.field(f) for f in ("sig", "comp", "part", "n", "shared"))
+                offsets, flat = shared.offsets.to_numpy(), shared.values.to_numpy()
+                # within a list of structs the fields may begin before it
+                sets = [flat[offsets[i] : offsets[i + 1]] for i in range(len(sig))]
+                x, y = _joined(sig.to_numpy(), comp.to_numpy(), part.to_numpy(), n.to_numpy(), sets, percent)
+                out[0].append(x)
+                out[1].append(y)
+            cat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cat], names=["a", "b"])
+
+    return run
 
 
-def links(left: DataFrame, percent: int = PERCENT, stars: int = 2) -> DataFrame:
+def links(left: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(v, comp): the components of classes that link with any other."""
-    keys = _keys(left, percent, boundary(left, percent))
-    wanted = keys.groupBy("key", "lists").agg(F.count(F.lit(1)).alias("c"), F.max("heavy").alias("h")).where("c > 1 and (h or not lists)")
-    wanted = wanted.select(F.col("key").alias("k"), F.col("lists").alias("l"))
-    on = lambda x, y: (x["key"] == y["k"]) & (x["lists"] == y["l"])
-    keys = written(keys.join(wanted, on(keys, wanted)).drop("k", "l"), "keys")
-    similar = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
-    pair = lambda x: x.where(similar).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    comp, seen = None, None
-    for step in range(stars + 1):
-        at = keys.withColumn("comp", F.col("sig"))
-        if comp is not None:
-            names = comp.withColumnsRenamed({"v": "cv", "comp": "cc"})
-            at = keys.join(names, keys["sig"] == names["cv"], "left").withColumn("comp", F.coalesce("cc", "sig")).drop("cv", "cc")
-            at = written(at, "keys")
-        middle = at.groupBy("key", "lists").agg(F.min(F.struct(~F.col("heavy"), "alone", "sig", "n", "comp")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        middle = middle.select(F.col("key").alias("k"), F.col("lists").alias("l"), F.col("m.sig").alias("y"), F.col("m.n").alias("b_size"), F.col("m.comp").alias("y_comp"))
-        if step < stars:
-            found = at.join(middle, on(at, middle)).where("comp <> y_comp").select(F.col("sig").alias("x"), "y", F.col("n").alias("a_size"), "b_size")
-        else:
-            other = at.join(middle.select("k", "l"), on(at, middle)).drop("k", "l")
-            other = written(other, "open")
-            mate = other.select(F.col("key").alias("k"), F.col("lists").alias("l"), F.col("sig").alias("y"), F.col("n").alias("b_size"), F.col("comp").alias("y_comp"), F.col("heavy").alias("y_heavy"))
-            found = other.join(mate, on(other, mate)).where("comp < y_comp and (not lists or heavy or y_heavy)").select(F.col("sig").alias("x"), "y", F.col("n").alias("a_size"), "b_size")
-        pairs = pair(found)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        done = written(_checked(pairs, left, percent), "checked")
-        seen = done if seen is None else seen.unionByName(done)
-        if step and done.where("link").isEmpty() and step < stars:
-            continue
-        comp = components(seen.where("link"))
-    return comp
+    spark = left.sparkSession
+    groups = _groups_of(left, percent)
+    star = written(_checked(groups.select(F.col("hub").alias("a"), F.col("sig").alias("b")), left, percent), "star")
+    comp = written(components(star), "star-components")
+    # members with their components; groups that are not one component yet
+    known = lambda v, c: comp.select(F.col("v").alias(v), F.col("comp").alias(c))
+    at = groups.join(known("v1", "c1"), groups["sig"] == F.col("v1"), "left").join(known("v2", "c2"), groups["hub"] == F.col("v2"), "left")
+    at = written(at.select("hub", "sig", F.coalesce("c1", "sig").alias("comp"), F.coalesce("c2", "hub").alias("main")), "members")
+    open_ = at.where("comp <> main").select(F.col("hub").alias("h")).distinct()
+    at = at.join(open_, at["hub"] == open_["h"]).drop("h")
+    at = at.unionByName(at.select("hub", F.col("hub").alias("sig"), F.col("main").alias("comp"), "main").distinct()).withColumn("other", F.col("comp") != F.col("main"))
+    sets = left.select(F.col("sig").alias("s"), "n", "shared")
+    at = written(at.join(sets, at["sig"] == sets["s"]).drop("s", "main"), "open")
+    size = at.groupBy("hub").agg(*[F.ceil(F.sum(F.when(F.col("other") == k, F.size("shared")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias(c) for k, c in ((True, "others"), (False, "mains"))]).withColumnRenamed("hub", "h")
+    at = at.join(size, at["hub"] == size["h"]).drop("h")
+    block = F.pmod(F.xxhash64("sig"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int")
+    # blocks 0.. are of the other components, those from `others` on of the hub's; two of the latter hold no open pair
+    at = at.withColumn("own", F.when(F.col("other"), block).otherwise(block + F.col("others")))
+    mates = F.when(F.col("other"), F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))
+    at = at.withColumn("mate", F.explode(mates))
+    lo, hi = F.least("own", "mate"), F.greatest("own", "mate")
+    row = F.struct("sig", "comp", (F.col("own") > lo).cast("int").alias("part"), F.col("n"), "shared")
+    arrow_rows(spark, 8)
+    rows = at.groupBy("hub", lo.alias("lo"), hi.alias("hi")).agg(F.collect_list(row).alias("rows")).select("rows")  # two blocks, bounded by BLOCK_SHINGLES
+    more = written(rows.mapInArrow(_compare(percent), "a long, b long"), "more")
+    arrow_rows(spark)
+    return components(star.unionByName(more))
 
 
 def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
