@@ -8,6 +8,7 @@ from .line_dedup import OP3_SQL, op3_line_dedup
 from .ngram_jaccard import op2_ngram_jaccard_join
 from .nn_descent import op6_nn_descent
 from .packing import op7_best_fit_packing
+from .secrets import op1_secret_scan
 from .sentencepiece_viterbi import op9_sentencepiece
 from .toxicity import op5_toxicity
 from .warc import op8_warc_round_trip
@@ -15,6 +16,7 @@ from .warc import op8_warc_round_trip
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_line_dedup": op3_line_dedup,
         "op4_document_fingerprints": op4_document_fingerprints,
