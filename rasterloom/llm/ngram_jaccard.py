@@ -146,7 +146,7 @@ def _post(words: int, buckets: int, hot):
     """Postings packed by (kind, bucket): kind 0 by shingle, for counting; kind 1 by class, of hot shingles."""
 
     def flush(doc, g, sig):
-        often = hot.value
+        often, held = hot.value
         at = np.searchsorted(often, g)
         is_hot = (often[np.minimum(at, len(often) - 1)] == g) if len(often) else np.zeros(len(g), bool)
         kinds, keys, blobs = [], [], []
@@ -162,7 +162,7 @@ def _post(words: int, buckets: int, hot):
             rows = warm[rows]
             kinds.append(1)
             keys.append(b)
-            blobs.append(_packed(doc[rows], sig, at[rows].astype(U), (np.full(len(rows), 65535, "<u2"), np.full(len(rows), 0xFFFFFF, "<u4"))))
+            blobs.append(_packed(doc[rows], sig, at[rows].astype(U), (held[at[rows]], np.full(len(rows), 0xFFFFFF, "<u4"))))
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
 
     def run(batches):
@@ -273,13 +273,15 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     own = written(docs.mapInArrow(_sets(words), "doc_id long, n long, sig long, hot boolean"), "sets")
     sets = own.where("not hot").select("doc_id", "n", "sig")
     found, total = sets.agg(F.count(F.lit(1)), F.sum("n")).first()
-    hot = own.where("hot").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, HOT * found)).select("sig").toArrow()["sig"].to_numpy()
-    hot = spark.sparkContext.broadcast(np.sort(hot.view(U) if len(hot) else np.zeros(0, U)))
+    hot = own.where("hot").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, HOT * found)).toArrow()
+    value, held = hot["sig"].to_numpy().view(U), np.minimum(hot["n"].to_numpy(), 65534).astype("<u2")
+    order = np.argsort(value)
+    hot = spark.sparkContext.broadcast((value[order], held[order]))
     buckets = max(12, -(-(total or 0) // POSTINGS))
     posted = docs.mapInArrow(_post(words, buckets, hot), "kind int, bucket int, blob binary")
     # one row of a bucket stands for up to a million postings
     cold = posted.where("kind = 0").groupBy("bucket").applyInArrow(_counted(buckets), "kind int, bucket int, blob binary")
-    if len(hot.value):
+    if len(value):
         cold = cold.unionByName(posted.where("kind = 1"))
     left = cold.groupBy("bucket").applyInArrow(_survivors(percent), "sig long, n long, single long, shared array<long>, scan long")
     return sets, written(left, "classes")
