@@ -136,6 +136,11 @@ class Terrain:
         k = checked("Terrain.Const", k, {"value": (0.0, NUMBER, None, None), "domain": (2, int, 2, 3)})
         return lift(k["value"], k["domain"])
 
+    @staticmethod
+    def Column(name: str, domain: int = 2):
+        """A numeric column of the table that a plan is evaluated over."""
+        return make("column", {"name": name}, (), domain)
+
     @staticmethod
     def Gradient(**k):
         f = scalar(checked("Terrain.Gradient", k, {"input": (..., Field, None, None)})["input"], "Terrain.Gradient")
@@ -197,8 +202,8 @@ class Noises:
 
 class Combine:
     @staticmethod
-    def _two(name, k, **more):
-        return checked(f"Combine.{name}", k, {"a": (..., (Field, *NUMBER), None, None), "b": (..., (Field, *NUMBER), None, None), **more})
+    def _two(name, given, **more):
+        return checked(f"Combine.{name}", given, {"a": (..., (Field, *NUMBER), None, None), "b": (..., (Field, *NUMBER), None, None), **more})
 
     @staticmethod
     def _pair(a, b):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ..errors import PlanError
 from ..field import Field, Node
@@ -98,6 +99,10 @@ def evaluate(fields: list[Field], lane, position, spacing: float, seed: int) ->
         kind, out = node.kind, None
         if kind == "coords":
             out = [tuple(position)]
+        elif kind == "column":
+            if lane is Blocks:
+                raise PlanError("plan", f"column {p['name']} is of a table; use rows")
+            out = [(lane.let(F.col(p["name"]).cast("double")),)]
         elif kind == "const":
             out = [(position[0] * 0.0 + p["value"],)]
         elif kind == "arith":
