@@ -281,11 +281,11 @@ def _over_gradient(name: str, build, sql: str):
     _window_query(name, lambda d: build(windows.gradient(d)), f"{_GRAD} {sql}")
 
 
-_size = F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz"))
-_over_gradient("win_slope_mask", lambda g: g.select("x", "z", F.least(F.greatest((_size - 1000.0) / 9000.0, F.lit(0.0)), F.lit(1.0)).alias("t")).select("x", "z", F.round(F.col("t") * F.col("t") * (3.0 - 2.0 * F.col("t")), 9).alias("mask")),
+_size = lambda: F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz"))
+_over_gradient("win_slope_mask", lambda g: g.select("x", "z", F.least(F.greatest((_size() - 1000.0) / 9000.0, F.lit(0.0)), F.lit(1.0)).alias("t")).select("x", "z", F.round(F.col("t") * F.col("t") * (3.0 - 2.0 * F.col("t")), 9).alias("mask")),
                "SELECT x, z, round(" + _step(_clamp("(sqrt(gx * gx + gz * gz) - 1000.0::DOUBLE) / 9000.0::DOUBLE")) + ", 9) AS mask FROM g")
-_length = F.sqrt(F.col("gx") * F.col("gx") * 1e-6 + 1.0 + F.col("gz") * F.col("gz") * 1e-6)
-_over_gradient("win_normals", lambda g: g.select("x", "z", F.round(F.col("gx") * -0.001 / _length, 9).alias("nx"), F.round(1.0 / _length, 9).alias("ny"), F.round(F.col("gz") * -0.001 / _length, 9).alias("nz")),
+_length = lambda: F.sqrt(F.col("gx") * F.col("gx") * 1e-6 + 1.0 + F.col("gz") * F.col("gz") * 1e-6)
+_over_gradient("win_normals", lambda g: g.select("x", "z", F.round(F.col("gx") * -0.001 / _length(), 9).alias("nx"), F.round(1.0 / _length(), 9).alias("ny"), F.round(F.col("gz") * -0.001 / _length(), 9).alias("nz")),
                "SELECT x, z, round(gx * -0.001::DOUBLE / l, 9) AS nx, round(1.0::DOUBLE / l, 9) AS ny, round(gz * -0.001::DOUBLE / l, 9) AS nz FROM (SELECT *, sqrt(gx * gx * 1e-6::DOUBLE + 1.0::DOUBLE + gz * gz * 1e-6::DOUBLE) AS l FROM g)")
 _over_gradient("win_aspect", lambda g: g.select("x", "z", F.round(F.atan2(-F.col("gz"), -F.col("gx")), 8).alias("bearing")), "SELECT x, z, round(atan2(-gz, -gx), 8) AS bearing FROM g")
 _INNER = "WHERE e IS NOT NULL AND w IS NOT NULL AND s IS NOT NULL AND n IS NOT NULL"
