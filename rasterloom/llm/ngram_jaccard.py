@@ -46,7 +46,7 @@ from .common import U, arrow_rows, gram_hashes, mix64, table, text_bytes, token_
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 75, 0.02
-POSTINGS, FLUSH = 2_000_000, 500_000
+POSTINGS, BUCKETS, FLUSH = 2_500_000, 32, 500_000
 #: What a list entry costs to read in a block comparison, in rows shuffled; a subset or list entry to write costs one.
 SCAN_COST = 0.001
 #: Shingles in a block of sets that is compared with another, and columns of the comparison's matrices.
@@ -277,7 +277,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     value, held = hot["sig"].to_numpy().view(U), np.minimum(hot["n"].to_numpy(), 65534).astype("<u2")
     order = np.argsort(value)
     hot = spark.sparkContext.broadcast((value[order], held[order]))
-    buckets = max(12, -(-(total or 0) // POSTINGS))
+    buckets = max(BUCKETS, -(-(total or 0) // POSTINGS))
     posted = docs.mapInArrow(_post(words, buckets, hot), "kind int, bucket int, blob binary")
     # one row of a bucket stands for up to a million postings
     cold = posted.where("kind = 0").groupBy("bucket").applyInArrow(_counted(buckets), "kind int, bucket int, blob binary")
