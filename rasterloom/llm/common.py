@@ -8,6 +8,8 @@ difference of prefix sums. Nothing here loops over bytes or tokens in Python.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import os
 import uuid
 import zlib
@@ -60,6 +62,28 @@ def drop_written(df) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+_CACHES: list[dict] = []
+_OWNER: list[str] = []
+
+
+def cache() -> dict:
+    """A dict that lives in a Python worker while tasks of the same module run in it."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def claim(owner: str) -> None:
+    """Called as a module's task begins: a reused worker gives back what other modules' tasks have left."""
+    if _OWNER != [owner]:
+        _OWNER[:] = [owner]
+        for c in _CACHES:
+            c.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def doc_crc(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 

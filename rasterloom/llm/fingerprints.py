@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_PUNCT, U, arrow_rows, mix64, table, text_bytes, token_hashes, tokens
+from .common import IS_PUNCT, U, arrow_rows, claim, mix64, table, text_bytes, token_hashes, tokens
 
 SLOT_BITS, SUBSETS = 20, 64
 #: The band: terms in at least LEAST and at most MOST of all documents.
@@ -55,6 +55,7 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 def _count(batches):
+    claim(__name__)
     held, n = np.zeros(1 << SLOT_BITS, np.int64), 0
     for b in batches:
         doc, h, _, k = _terms(b.column(0))
@@ -138,6 +139,7 @@ def _deal(bounds, heads):
     """Rows with their range, and once more with the range before if they are a range's first document."""
 
     def run(batches):
+        claim(__name__)
         cuts, first, ranges = bounds.value, *heads.value
         before = {int(f): int(ranges[k - 1]) for k, f in enumerate(first)}
         for b in batches:
@@ -156,6 +158,7 @@ def _deal(bounds, heads):
 
 def _firsts(bounds):
     def run(batches):
+        claim(__name__)
         for b in batches:
             null = b.column(0).is_null().to_numpy(zero_copy_only=False)
             key = np.where(null, np.iinfo(np.int64).max, b.column(0).fill_null(0).to_numpy())
@@ -185,6 +188,7 @@ def _fingerprint(lexicon_bits):
         )
 
     def run(batches):
+        claim(__name__)
         ids, texts, size, part = [], [], 0, None  # consecutive documents of a range; the last waits for the one after it
         shut = False  # a halo row has ended the range
         for b in batches:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, arrow_rows, gram_hashes, mix64, table, text_bytes, token_hashes, tokens, written
+from .common import U, arrow_rows, claim, gram_hashes, mix64, table, text_bytes, token_hashes, tokens, written
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 75, 0.02
@@ -104,6 +104,7 @@ def _sets(words: int):
     """Rows (doc_id, n, sig), and rows (null, count, shingle) of shingles that are frequent within a batch."""
 
     def run(batches):
+        claim(__name__)
         for b in batches:
             doc, g, count = shingles(b.column(1), words)
             sig = signatures(doc, g, count)
@@ -166,6 +167,7 @@ def _post(words: int, buckets: int, hot):
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
 
     def run(batches):
+        claim(__name__)
         docs, grams, sigs, n, size = [], [], [], 0, 0
         for b in batches:
             doc, g, count = shingles(b.column(1), words)
@@ -189,6 +191,7 @@ def _counted(buckets: int):
     """A bucket's postings with in how many classes each shingle lies, packed by class."""
 
     def run(key, rows):
+        claim(__name__)
         bucket = key[0].as_py()
         parts = [_unpacked(x.as_py()) for x in rows["blob"]]
         sig, low = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
@@ -221,6 +224,7 @@ def _survivors(percent: int):
     """Classes that can link: size, how many shingles they have alone, the others with the rarest first, and the length of their lists."""
 
     def run(key, rows):
+        claim(__name__)
         sigs, values, often, lone, alone = [], [], [], [], []
         for kind, blob in zip(rows["kind"].to_pylist(), rows["blob"], strict=True):
             blob = blob.as_py()
@@ -379,6 +383,7 @@ def _joined(sig: np.ndarray, comp: np.ndarray, part: np.ndarray, n: np.ndarray,
 
 def _compare(percent: int):
     def run(batches):
+        claim(__name__)
         for b in batches:
             out = [[], []]
             for k in range(len(b)):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table, written
+from .common import arrow_rows, claim, table, written
 
 TOP, EVERY = 20, 20
 SHARD, K, ITERATIONS = 4096, 16, 5
@@ -98,6 +98,7 @@ def _descend(dims: int, longest: float, k: int):
     """One iteration within a shard: all pairs within each node's list are scored, each node keeps its k best."""
 
     def run(key, lists, members):
+        claim(__name__)
         n = members.num_rows
         x = np.zeros((n, dims + 1), np.float32)
         at = members["r"].to_numpy()
@@ -208,6 +209,7 @@ def search(q: np.ndarray, own: np.ndarray, x: np.ndarray, near: np.ndarray, top:
 
 def _search(dims: int, top: int):
     def run(key, blocks, shard):
+        claim(__name__)
         n = shard.num_rows
         at = shard["r"].to_numpy()
         x, node = np.zeros((n, dims)), np.zeros(n, np.int64)

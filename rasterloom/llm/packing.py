@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table, written
+from .common import arrow_rows, cache, claim, table, written
 
 CAPACITY, END_ID = 2048, 0
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = cache()
 #: Control characters that str.split() takes for white space and Unicode does not, and the tokenizer's special strings.
 _ODD = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
 
@@ -99,6 +99,7 @@ class WordEncoder:
 
 def _pieces(path: str, capacity: int):
     def cut(batches):
+        claim(__name__)
         encode = WordEncoder.of(path)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), ([], [], [], [], [])

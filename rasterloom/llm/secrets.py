@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows, claim, table
 
 TREES, DEPTH, BINS, LEAST_LEAF, SAMPLE, THRESHOLD = 40, 9, 32, 4, 20_000, 0.5
 MASK = "[SECRET]"
@@ -272,6 +272,7 @@ def scan(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "t
     model = spark.sparkContext.broadcast(forest)
 
     def run(batches):
+        claim(__name__)
         for b in batches:
             ids, texts, paths = (b.column(k).to_pylist() for k in range(3))
             rows = [(ids[k], a, e - a, kind, hashlib.sha256(texts[k][a:e].encode()).hexdigest(), s, int(s >= threshold)) for k, a, e, kind, s in findings(texts, paths, model.value)]
@@ -290,6 +291,7 @@ def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str = "sou
     at, path_at = docs.columns.index(text), docs.columns.index(path)
 
     def run(batches):
+        claim(__name__)
         for b in batches:
             texts = b.column(at).to_pylist()
             for k, a, e, _, s in reversed(findings(texts, b.column(path_at).to_pylist(), model.value)):

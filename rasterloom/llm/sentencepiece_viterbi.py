@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows, cache, claim, table
 
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_MODELS: dict[str, Pieces] = {}
+_MODELS: dict[str, Pieces] = cache()
 
 
 class Pieces:
@@ -182,6 +182,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     """doc_id and the ids of its text (array of int, null for null text)."""
 
     def run(batches):
+        claim(__name__)
         pieces = Pieces.of(model)
         for b in batches:
             ids = [None if t is None else np.frombuffer(pieces.encode(t), "<u4").astype("i4") for t in b.column(1).to_pylist()]
@@ -195,6 +196,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
     """doc_id and text for rows of doc_id and ids, as encode() gives them."""
 
     def run(batches):
+        claim(__name__)
         pieces = Pieces.of(model)
         for b in batches:
             texts = [None if x is None else pieces.decode(np.array(x, "i4")) for x in b.column(1).to_pylist()]
@@ -207,6 +209,7 @@ def digest(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     """Encode and decode each text in one pass: counts, checksum of the ids, digest of the decoded text, and whether it is the text."""
 
     def run(batches):
+        claim(__name__)
         pieces = Pieces.of(model)
         for b in batches:
             rows = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_PUNCT, U, arrow_rows, gram_hashes, table, text_bytes, token_hashes, tokens
+from .common import IS_PUNCT, U, arrow_rows, claim, gram_hashes, table, text_bytes, token_hashes, tokens
 
 BITS, SAMPLE, THRESHOLD = 20, 20_000, 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -72,6 +72,7 @@ class Ftrl:
 
 
 def _sampled(batches):
+    claim(__name__)
     for b in batches:
         doc, slot, n = features(b.column(1))
         cuts = np.searchsorted(doc, np.arange(n + 1))
@@ -101,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
 def _scores(model):
     def run(batches):
+        claim(__name__)
         at, w = model.value
         weight, on = np.zeros((1 << BITS) + 1), np.zeros(1 << BITS, bool)
         weight[at] = w
@@ -131,6 +133,7 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
     model_b = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        claim(__name__)
         scores = _scores(model_b)
         for b in batches:
             (s,) = scores([b.select(["doc_id", "text"])])

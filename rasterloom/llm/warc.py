@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, shared_dir, table, written
+from .common import arrow_rows, claim, shared_dir, table, written
 
 CHUNK, ARCHIVE_BYTES = 1 << 20, 256 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -64,6 +64,7 @@ def _slices(value: pa.StringScalar, step: int = CHUNK):
 
 def _write(folder: str):
     def run(batches):
+        claim(__name__)
         where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
         out, path, size, records = None, "", 0, 0
@@ -201,6 +202,7 @@ def _read(chunk: int, data: bool):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches):
+        claim(__name__)
         for b in batches:
             for uri in b.column(0).to_pylist():
                 where, path = fs.FileSystem.from_uri(uri)
