@@ -197,7 +197,8 @@ class Noises:
             "jitter": (1.0, NUMBER, 0, 1), "amplitude": (1.0, NUMBER, None, None), "offset": (0.0, NUMBER, None, None), "seed": (0, int, None, None), "position": (None, Field, None, None),
         })
         p = _position(k.pop("position"), "Noises.Cells")
-        return make("cells", {**k, "hexagonal": k.pop("lattice") == "hex"}, (p,), 2, (1, 3), ("value", "cell"))
+        hexagonal = k.pop("lattice") == "hex"
+        return make("cells", {**k, "hexagonal": hexagonal}, (p,), 2, (1, 3), ("value", "cell"))
 
 
 class Combine:

@@ -97,6 +97,8 @@ def evaluate(fields: list[Field], lane, position, spacing: float, seed: int) ->
         if node.domain != len(position):
             raise PlanError("plan", f"{node.kind} is over R{node.domain}, the job over R{len(position)}")
         kind, out = node.kind, None
+        if lane is not Blocks and (kind == "cells" or str(p.get("kind")).startswith("cellular")):
+            raise PlanError("plan", "the nearest of 25 sites is a join in rows (queries.cells_*), or a field exported in blocks")
         if kind == "coords":
             out = [tuple(position)]
         elif kind == "column":
