@@ -307,6 +307,64 @@ class Curves:
         return saw if k["mode"] == "sawtooth" else 1 - make("curve", {"op": "abs"}, (saw * 2 - 1,), t.domain)
 
 
+    TABLE = 256
+
+    @staticmethod
+    def Table(input, points, smooth=True):
+        """The value read off a curve through (x, y) points, x rising: monotone cubic or straight, flat beyond the ends; a table of 256 entries."""
+        if len(points) < 2 or any(a[0] >= b[0] for a, b in zip(points, points[1:], strict=False)):
+            raise PlanError("argument", "Curves.Table needs at least two points with x strictly rising")
+        n, xs, ys = len(points), [float(p[0]) for p in points], [float(p[1]) for p in points]
+        d = [(ys[i + 1] - ys[i]) / (xs[i + 1] - xs[i]) for i in range(n - 1)]
+        m = [d[0], *((d[i - 1] + d[i]) / 2 if d[i - 1] * d[i] > 0 else 0.0 for i in range(1, n - 1)), d[-1]]
+        for i, slope in enumerate(d):  # slopes within three times the secant, so that a rising curve never dips
+            if slope == 0:
+                m[i] = m[i + 1] = 0.0
+            elif (size := math.hypot(m[i], m[i + 1]) / abs(slope)) > 3:
+                m[i], m[i + 1] = m[i] * 3 / size, m[i + 1] * 3 / size
+        cell, values, k = (xs[-1] - xs[0]) / (Curves.TABLE - 1), [], 0
+        for i in range(Curves.TABLE):
+            x = xs[0] + cell * i
+            while k < n - 2 and x > xs[k + 1]:
+                k += 1
+            h = xs[k + 1] - xs[k]
+            t = min(max((x - xs[k]) / h, 0.0), 1.0)
+            if smooth:
+                u = 1 - t
+                values.append(u * u * (1 + 2 * t) * ys[k] + t * u * u * h * m[k] + t * t * (3 - 2 * t) * ys[k + 1] - t * t * u * h * m[k + 1])
+            else:
+                values.append(ys[k] + (ys[k + 1] - ys[k]) * t)
+        return Terrain.Grid(values=tuple(values * 2), size=(Curves.TABLE, 2), origin=(xs[0], 0.0), cell=cell, position=Vec.Combine(input, input * 0))
+
+    @staticmethod
+    def Equalize(input, quantiles, amount=1.0):
+        """Values spread evenly over their range; quantiles: 65 of a sample, rising (metrics.ranked gives them)."""
+        lo, hi, points = quantiles[0], quantiles[-1], []
+        if hi <= lo:
+            return input
+        for k, x in enumerate(quantiles):
+            if not points or x > points[-1][0]:
+                points.append((x, x + (lo + (hi - lo) * k / (len(quantiles) - 1) - x) * amount))
+        return Curves.Table(input, tuple(points), smooth=False)
+
+
+class Strata:
+    @staticmethod
+    def Apply(input, step=30.0, tilt=0.0, heading=0.0, strength=1.0, sharpness=0.6, layers=1, bedding=None, mask=None, smoothness=4, flat=0.1, steep=0.6):
+        """Tilted beds cut into slopes: (height, how far each sample moved, bed number)."""
+        c, a = Terrain.Coords(), math.radians(heading)
+        plane = (c.x * math.cos(a) + c.z * math.sin(a)) * math.tan(math.radians(tilt))
+        plane = plane if bedding is None else plane + bedding
+        weight = Masks.Slope(input=Terrain.Gradient(input=Filters.Blur(input=input, radius=smoothness)), min=flat, max=steep)
+        weight = weight if mask is None else mask * weight
+        out, thick, share = input, step, strength
+        for _ in range(max(1, int(layers))):
+            out = out + (Curves.Terrace(input=out + plane, step=thick, sharpness=sharpness) - plane - out) * (weight * share)
+            thick, share = thick / 3, share / 2
+        moved = make("curve", {"op": "abs"}, (out - input,), 2)
+        return out, moved, Curves.Terrace(input=input + plane, step=step, sharpness=1.0) / step
+
+
 class Masks:
     @staticmethod
     def Slope(**k):
@@ -409,6 +467,24 @@ class Erosion:
         f, m = scalar(k.pop("input"), "Erosion.Hydraulic"), k.pop("hardness")
         return make("hydraulic", k, (f,) if m is None else (f, scalar(m, "Erosion.Hydraulic", f.domain)), f.domain, (1, 2), ("value", "flow"), k["iterations"])
 
+    @staticmethod
+    def Gullies(**k):
+        """Stripes down the slopes; channel `channels` is how near a sample is to the bottom of a gully."""
+        k = checked("Erosion.Gullies", k, {
+            "input": (..., Field, None, None), "gradient": (None, Field, None, None), "position": (None, Field, None, None), "cell": (450.0, NUMBER, 1e-9, None), "octaves": (5, int, 1, 8), "strength": (60.0, NUMBER, None, None),
+            "full": (0.5, NUMBER, 1e-9, None), "gain": (0.5, NUMBER, None, None), "lacunarity": (2.0, NUMBER, None, None), "seed": (0, int, None, None),
+        })
+        f, g = scalar(k.pop("input"), "Erosion.Gullies", 2), k.pop("gradient")
+        g = Terrain.Gradient(input=f) if g is None else _slope(g)
+        return make("gullies", k, (f, g, _position(k.pop("position"), "Erosion.Gullies")), 2, (1, 1), ("value", "channels"))
+
+    @staticmethod
+    def Accumulate(input, direction=0.0, lift=0.2, talus=0.6, iterations=32, strength=0.4):
+        """Material on the side of every rise that faces away from a direction: tilt, deposit, tilt back."""
+        c, a = Terrain.Coords(), math.radians(direction)
+        plane = (c.x * math.cos(a) + c.z * math.sin(a)) * lift
+        return Erosion.Thermal(input=input + plane, iterations=iterations, talus=talus, strength=strength, mass_balance=1.0) - plane
+
     @staticmethod
     def scaled(written: int, spacing: float) -> int:
         """Iterations at this spacing for a count written at 2 m: the square of the ratio, from 1 to the greater of the written count and 96."""

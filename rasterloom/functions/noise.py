@@ -256,3 +256,34 @@ def cells(lane, p, *, frequency=0.002, style="F1", metric="euclidean", hexagonal
     cell = unit(lane, mix(lane, lane.xor(best[0][3], HASH_Z)), q[0])
     value = cell if style == "cell" else best[STYLES.index(style)][0] if style[2:] == "" else best[_DIFFERENCES[style][0]][0] - best[_DIFFERENCES[style][1]][0]
     return lane.lets(value * amplitude + offset, best[0][1] / frequency, best[0][2] / frequency, cell)
+
+
+def gullies(lane, p, gradient, *, cell=450.0, octaves=5, gain=0.5, lacunarity=2.0, full=0.5, seed=0):
+    """Stripes that run down the slope, each octave bent by the one before: (sum of stripes, drainage mask), both fading on flat ground."""
+    gx, gz = gradient
+    dx, dz = gz, -gx
+    amplitude, frequency, total, bx, bz, drain = 0.5, 1.0, 0.0, 0.0, 0.0, 0.0
+    for o in range(octaves):
+        q = [c / cell * frequency for c in p]
+        ci, cj = (lane.floor(c) for c in q)
+        ux, uz = dx + bz, dz - bx
+        value = sx = sz = weights = 0.0
+        for i in range(-2, 2):
+            for j in range(-2, 2):
+                h = lattice(lane, (ci - i, cj - j), octave_seed(seed, o))
+                jx, jz = unit(lane, h, q[0]), unit(lane, mix(lane, lane.xor(h, PHI)), q[0])
+                ox, oz = q[0] - ci + i - jx * 0.5, q[1] - cj + j - jz * 0.5
+                w = lane.exp((ox * ox + oz * oz) * -2.0)
+                phase = (ox * ux + oz * uz) * 6.28318530718
+                value, weights = value + lane.cos(phase) * w, weights + w
+                wave = lane.sin(phase) * w
+                sx, sz = sx - wave * ux, sz - wave * uz
+        value = value / weights
+        total = total + value * amplitude
+        bx, bz = bx + sx / weights * (amplitude * frequency), bz + sz / weights * (amplitude * frequency)
+        t = lane.least(lane.greatest((-value - 0.6) / (0.9 - 0.6), 0.0), 1.0)
+        drain = lane.greatest(drain, t * t * (3.0 - 2.0 * t) * (amplitude * 2.0))
+        amplitude *= gain
+        frequency *= lacunarity
+    steep = lane.least(lane.greatest(lane.sqrt(gx * gx + gz * gz) / full, 0.0), 1.0)
+    return total * steep, drain * steep

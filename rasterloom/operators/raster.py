@@ -251,6 +251,45 @@ def coast_drain(land: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.nd
     return parent.reshape(land.shape), area.reshape(land.shape)
 
 
+def square(mask: np.ndarray, radius: int, steps: list[int]) -> np.ndarray:
+    """A mask grown (step > 0) or shrunk (step < 0) by squares of that many times the radius, in turn; what lies beyond the raster is left out."""
+    from .stencils import expand, shrink
+
+    out = mask.astype(float)
+    for s in steps:
+        out = (expand if s > 0 else shrink)(out, abs(s) * radius)
+    return out > 0.5
+
+
+def box3(values: np.ndarray, radius: int) -> np.ndarray:
+    """Three box means, close to a Gaussian; windows are cut at the edge."""
+    from .stencils import box_mean
+
+    for _ in range(3):
+        values = box_mean(values, radius)
+    return values
+
+
+def resample(values: np.ndarray, at_x: np.ndarray, at_z: np.ndarray, outside: float = 0.0, nearest: bool = False) -> np.ndarray:
+    """values read at positions in their own samples, bilinearly or at the nearest; `outside` off the raster."""
+    depth, width = values.shape
+    if nearest:
+        i, j = np.floor(at_x + 0.5).astype(int), np.floor(at_z + 0.5).astype(int)
+        there = (i >= 0) & (j >= 0) & (i < width) & (j < depth)
+        return np.where(there, values[np.clip(j, 0, depth - 1), np.clip(i, 0, width - 1)], outside)
+    there = (at_x >= 0) & (at_z >= 0) & (at_x <= width - 1) & (at_z <= depth - 1)
+    i, j = np.clip(np.floor(at_x).astype(int), 0, max(width - 2, 0)), np.clip(np.floor(at_z).astype(int), 0, max(depth - 2, 0))
+    u, v = at_x - i, at_z - j
+    i1, j1 = np.minimum(i + 1, width - 1), np.minimum(j + 1, depth - 1)
+    top, bottom = values[j, i] * (1 - u) + values[j, i1] * u, values[j1, i] * (1 - u) + values[j1, i1] * u
+    return np.where(there, top * (1 - v) + bottom * v, outside)
+
+
+def wetness(area: np.ndarray, slope: np.ndarray, cell: float, lo: float = 4.0, hi: float = 14.0) -> np.ndarray:
+    """Topographic wetness index, from lo to hi mapped to [0, 1]."""
+    return np.clip((np.log((area / cell) / np.maximum(slope, 1e-3)) - lo) / (hi - lo), 0, 1)
+
+
 def per_raster(df: DataFrame, key: str, function, schema: str) -> DataFrame:
     """Apply function(array v[z, x]) -> dict of arrays to each raster of a table (key, x, z, v); one group a raster."""
 

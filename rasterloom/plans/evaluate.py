@@ -146,6 +146,10 @@ def evaluate(fields: list[Field], lane, position, spacing: float, seed: int) ->
             out = [(_grid(lane, *ins[0], p),)]
         elif lane is not Blocks:
             raise PlanError("plan", f"{kind} reads neighbours; export the field in blocks")
+        elif kind == "gullies":
+            k = {x: v for x, v in p.items() if x not in ("seed", "strength")}
+            stripes, drain = noise.gullies(lane, ins[2], ins[1], seed=noise.job_seed(seed, p["seed"]), **k)
+            out = [(ins[0][0] + stripes * p["strength"],), (drain,)]
         elif kind == "gradient":
             out = [tuple(stencils.gradient(ins[0][0], spacing))]
         elif kind == "blur":

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.errors import PlanError
-from rasterloom.field import Combine, Curves, Erosion, Filters, Landforms, Masks, Noises, Shapes, Terrain, Vec
+from rasterloom.field import Combine, Curves, Erosion, Filters, Landforms, Masks, Noises, Shapes, Strata, Terrain, Vec
 from rasterloom.functions import noise
 from rasterloom.functions.lanes import Blocks, u32_mul
 from rasterloom.operators import metrics, raster, stencils, windows
@@ -220,3 +220,44 @@ def test_queries_match_sql(spark):
 def test_combine_atan2_at_the_origin():
     assert block({"f": Combine.Atan2(y=Terrain.Const(), x=Terrain.Const())}, (0, 0), (1, 1), 1.0)[0][0, 0] == 0
     assert math.isclose(block({"f": Curves.Power(input=Terrain.Const(value=-4.0), exponent=0.5)}, (0, 0), (1, 1), 1.0)[0][0, 0], -2.0)
+
+
+def test_curve_tables():
+    points = ((0.0, 0.0), (10.0, 5.0), (20.0, 6.0), (40.0, 30.0))
+    at = lambda f, x: block({"f": f}, (x, 0), (1, 1), 1.0, 0, np.float64)[0][0, 0]
+    straight, smooth = (Curves.Table(Terrain.Coords().x, points, s) for s in (False, True))
+    assert at(straight, 5) == pytest.approx(2.5, abs=0.02) and at(straight, -9) == 0 and at(straight, 99) == 30 and at(smooth, 10) == pytest.approx(5, abs=0.05)
+    curve = [at(smooth, x) for x in range(41)]
+    assert all(a <= b + 1e-9 for a, b in zip(curve, curve[1:], strict=False))
+    flat = Curves.Equalize(Terrain.Coords().x, [float(k * k) for k in range(65)])
+    assert at(flat, 1024) == pytest.approx(2048, rel=0.02)
+    with pytest.raises(PlanError):
+        Curves.Table(Terrain.Coords().x, ((0, 0), (0, 1)))
+
+
+def test_grid_wraps_and_holds():
+    values = tuple(float(k) for k in range(12))
+    at = lambda f, x, z: block({"f": f}, (x, z), (1, 1), 1.0, 0, np.float64)[0][0, 0]
+    hold, wrap = (Terrain.Grid(values=values, size=(4, 3), wrap=w) for w in (False, True))
+    assert at(hold, 2, 1) == 6 and at(hold, 99, 1) == 7 and at(wrap, 6, 4) == 6 and at(wrap, -1, 0) == 3
+
+
+def test_gullies_and_strata(spark):
+    h = Noises.fBm(frequency=0.01, octaves=3, amplitude=80)
+    g = Erosion.Gullies(input=h, cell=40.0, strength=6.0)
+    top, moved, bed = Strata.Apply(h, step=12.0, tilt=5.0, layers=2)
+    outputs = {"g": g, "c": g.channels, "t": top, "m": moved, "b": bed, "a": Erosion.Accumulate(h, iterations=4)}
+    one, many = (export(spark, outputs, (0, 0), (48, 48), 1.0, s, 5).orderBy("sz", "sx").toPandas() for s in (64, 16))
+    assert one.equals(many) and one["c"].between(0, 1).all() and (one["m"] >= 0).all() and one["m"].max() > 0
+    base = block({"h": h}, (0, 0), (48, 48), 1.0, 5)[0].ravel()
+    assert 0 < np.abs(one["g"].to_numpy() - base).max() <= 6.1
+
+
+def test_raster_arrays():
+    mask = np.zeros((9, 9), bool)
+    mask[4, 4] = True
+    assert raster.square(mask, 1, [2]).sum() == 25 and (raster.square(mask, 1, [2, -2]) == mask).all()
+    v = np.arange(20.0).reshape(4, 5)
+    assert raster.resample(v, np.array([1.5, 9.0]), np.array([0.5, 0.0]), -1).tolist() == [4.0, -1.0]
+    assert raster.resample(v, np.array([1.6]), np.array([2.4]), nearest=True).tolist() == [12.0]
+    assert np.allclose(raster.box3(np.ones((6, 6)), 2), 1) and raster.wetness(np.array([2500.0]), np.array([0.0]), 50.0)[0] == pytest.approx((math.log(50 / 1e-3) - 4) / 10)
