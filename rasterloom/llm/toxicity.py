@@ -87,14 +87,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     rows = rows.orderBy(F.xxhash64("i"), "i", "label").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), F.col("doc_id") == F.col("i")).select("doc_id", "text", "label")
     got = rows.mapInArrow(_sampled, "doc_id long, label int, slots binary").toArrow()
-    ids, marks, slots = (got[k].to_pylist() for k in ("doc_id", "label", "slots"))
-    slots = [np.append(np.frombuffer(s, "<u4").astype(np.int64), 1 << BITS) for s in slots]
+    ids, marks, flat = got["doc_id"].to_pylist(), got["label"].to_pylist(), got["slots"].combine_chunks()
+    if isinstance(flat, pa.ChunkedArray):
+        flat = pa.concat_arrays(flat.chunks) if flat.num_chunks else pa.array([], pa.binary())
+    del got
+    # views of one buffer, not a copy for each text
+    cuts = flat.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(cuts.buffers()[1], np.int64)[cuts.offset : cuts.offset + len(cuts) + 1] // 4 if len(cuts) else np.zeros(1, np.int64)
+    data = np.frombuffer(cuts.buffers()[2], "<u4") if len(cuts) and cuts.buffers()[2] else np.zeros(0, "<u4")
+    slots = [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
     # an order that depends on the rows alone
     order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(b"order%d" % ids[k]), ids[k], marks[k], len(slots[k])))
     model = Ftrl()
     for _ in range(epochs):
         for k in order:
-            model.learn(slots[k], marks[k])
+            model.learn(np.append(slots[k], np.uint32(1 << BITS)), marks[k])
     w = model.weights(np.arange((1 << BITS) + 1))
     at = np.flatnonzero(w)
     return at, w[at]
