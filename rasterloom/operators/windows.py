@@ -94,6 +94,32 @@ def thermal(df: DataFrame, iterations: int = 1, talus: float = 0.7, strength: fl
     return df
 
 
+def hydraulic(df: DataFrame, iterations: int = 1, rain=0.02, evaporation=0.05, capacity=4.0, erosion_rate=0.3, deposition=0.3, flow_rate=0.15, spacing=1.0) -> DataFrame:
+    """(x, z, v, water, sediment): a few iterations of hydraulic erosion as window passes (many: export in blocks)."""
+    df = df.select("x", "z", "v", F.lit(0.0).alias("water"), F.lit(0.0).alias("sediment"))
+    lit = F.lit
+    for _ in range(iterations):
+        df = df.withColumn("water", F.col("water") + rain)
+        df = df.withColumns({"level": F.col("v") + F.col("water"), "load": F.col("sediment") / F.greatest("water", lit(1e-6))})
+        near = neighbours(df, "v", "water", "level", "load")
+        out = into = lost = won = steep = lit(0.0)
+        lowest = F.col("v")
+        for k in "ewsn":
+            down = F.coalesce(F.col("level") - F.col(f"level_{k}"), lit(0.0))
+            away = F.when(down > 0, F.least("water", down) * flow_rate).otherwise(0.0)
+            here = F.when(down < 0, F.least(F.col(f"water_{k}"), -down) * flow_rate).otherwise(0.0)
+            out, into = out + away, into + here
+            lost, won = lost + away * F.col("load"), won + F.when(down < 0, here * F.col(f"load_{k}")).otherwise(0.0)
+            steep = F.when(down > 0, F.greatest(steep, (F.col("v") - F.col(f"v_{k}")) / spacing)).otherwise(steep)
+            lowest = F.least(lowest, F.col(f"v_{k}"))
+        near = near.select("x", "z", "v", (F.col("water") - out + into).alias("water"), (F.col("sediment") - lost + won).alias("sediment"), (F.greatest(out, into) * capacity * steep).alias("holds"), lowest.alias("lowest"))
+        room = F.col("holds") - F.col("sediment")
+        change = F.when(room > 0, -F.least(room * erosion_rate, F.greatest(F.col("v") - F.col("lowest"), lit(0.0)) * 0.5)).otherwise(-room * deposition)
+        near = near.withColumn("change", change)
+        df = near.select("x", "z", (F.col("v") + F.col("change")).alias("v"), (F.col("water") * (1.0 - evaporation)).alias("water"), (F.col("sediment") - F.col("change")).alias("sediment"))
+    return df
+
+
 def displace(df: DataFrame, dx: float, dz: float) -> DataFrame:
     """v read bilinearly at (x + dx, z + dz), where all four corners are there."""
     i, j = int(dx // 1), int(dz // 1)

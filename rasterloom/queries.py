@@ -321,6 +321,22 @@ def _thermal_query(name: str, n: int):
 _thermal_query("erode_thermal_1it", 1)
 _thermal_query("erode_thermal_3it", 3)
 
+def _hydraulic_sql() -> str:
+    rain = "5.0::DOUBLE"
+    down = " + ".join(f"CASE WHEN v > {k} THEN least({rain}, v - {k}) * 0.15::DOUBLE ELSE 0 END" for k in "ewsn")
+    up = " + ".join(f"CASE WHEN v < {k} THEN least({rain}, {k} - v) * 0.15::DOUBLE ELSE 0 END" for k in "ewsn")
+    steep = "greatest(" + ", ".join(f"coalesce(v - {k}, 0)" for k in "ewsn") + ", 0.0::DOUBLE)"
+    base = f"SELECT x, z, v, {down} AS o, {up} AS i, {steep} AS steep, v - least(v, {', '.join(f'coalesce({k}, v)' for k in 'ewsn')}) AS room FROM ({_CROSS.format(t='t0')}) c"
+    taken = "CASE WHEN holds > 0 THEN least(holds * 0.3::DOUBLE, room * 0.5::DOUBLE) ELSE 0 END"
+    return f"WITH {raster_sql('evt')}, t0 AS (SELECT x, z, CAST(v AS DOUBLE) AS v FROM evt), b AS (SELECT *, greatest(o, i) * 4.0::DOUBLE * steep AS holds FROM ({base})) SELECT x, z, round(v - {taken}, 6) AS v, round(({rain} - o + i) * 0.95::DOUBLE, 6) AS water, round({taken}, 6) AS sediment FROM b"
+
+
+@query("erode_hydraulic_1it", _hydraulic_sql())
+def _hydraulic(spark, sf_dir):
+    out = windows.hydraulic(raster(spark, sf_dir, "evt").select("x", "z", F.col("v").cast("double").alias("v")), 1, rain=5.0)
+    return out.select("x", "z", *(F.round(c, 6).alias(c) for c in ("v", "water", "sediment")))
+
+
 # --- whole rasters and measures -------------------------------------------------------------------
 
 _LEVEL = 20000
@@ -358,6 +374,12 @@ def _receivers(spark, sf_dir):
     return grids.receivers(raster(spark, sf_dir, "evt"))
 
 
+@query("flow_accumulate", f"WITH RECURSIVE {raster_sql('evt')}, f AS ({_FLOW}), n AS (SELECT z * 100 + x AS cell, r.rz * 100 + r.rx AS receiver FROM f), p(cell, here) AS (SELECT z * 100 + x, z * 100 + x FROM evt UNION ALL SELECT p.cell, n.receiver FROM p JOIN n ON n.cell = p.here) SELECT here AS cell, count(*) AS cells FROM p GROUP BY here")
+def _accumulate(spark, sf_dir):
+    r = grids.receivers(raster(spark, sf_dir, "evt"))
+    return grids.accumulate(r.select((F.col("z") * 100 + F.col("x")).alias("cell"), (F.col("rz") * 100 + F.col("rx")).alias("receiver")))
+
+
 def _stat(name: str, build, sql: str):
     QUERIES[name] = lambda spark, sf_dir: build(raster(spark, sf_dir, "evt"))
     SQL[name] = f"WITH {raster_sql('evt')} {sql}"

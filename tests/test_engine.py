@@ -261,3 +261,23 @@ def test_raster_arrays():
     assert raster.resample(v, np.array([1.5, 9.0]), np.array([0.5, 0.0]), -1).tolist() == [4.0, -1.0]
     assert raster.resample(v, np.array([1.6]), np.array([2.4]), nearest=True).tolist() == [12.0]
     assert np.allclose(raster.box3(np.ones((6, 6)), 2), 1) and raster.wetness(np.array([2500.0]), np.array([0.0]), 50.0)[0] == pytest.approx((math.log(50 / 1e-3) - 4) / 10)
+
+
+def test_hydraulic_rows_match_blocks(spark):
+    rng = np.random.default_rng(9)
+    a = rng.random((11, 13)) * 40
+    df = spark.createDataFrame([(x, z, float(a[z, x])) for z in range(11) for x in range(13)], "x long, z long, v double")
+    got = windows.hydraulic(df, 2, rain=1.0).orderBy("z", "x").toPandas()
+    for column, expected in zip(("v", "water", "sediment"), stencils.hydraulic(a, 2, rain=1.0), strict=True):
+        assert np.allclose(got[column].to_numpy().reshape(11, 13), expected), column
+
+
+def test_accumulation_counts_what_is_upstream(spark):
+    rng = np.random.default_rng(10)
+    receiver = [None] + [int(rng.integers(0, k)) for k in range(1, 60)]
+    receiver[30:40] = list(range(29, 39))  # a long path
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(receiver)], "cell long, receiver long")
+    count = [1] * 60
+    for k in range(59, 0, -1):
+        count[receiver[k]] += count[k]
+    assert [tuple(r) for r in raster.accumulate(df).orderBy("cell").collect()] == list(enumerate(count))
