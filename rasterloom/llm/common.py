@@ -72,16 +72,21 @@ def cache() -> dict:
     return _CACHES[-1]
 
 
+def release() -> None:
+    """Give freed memory back to the system, as the driver's Python does after it has trained a model."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def claim(owner: str) -> None:
     """Called as a module's task begins: a reused worker gives back what other modules' tasks have left."""
     if _OWNER != [owner]:
         _OWNER[:] = [owner]
         for c in _CACHES:
             c.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
 
 
 def doc_crc(doc_id: int) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_PUNCT, U, arrow_rows, claim, gram_hashes, table, text_bytes, token_hashes, tokens
+from .common import IS_PUNCT, U, arrow_rows, claim, gram_hashes, release, table, text_bytes, token_hashes, tokens
 
 BITS, SAMPLE, THRESHOLD = 20, 20_000, 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -104,6 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             model.learn(np.append(slots[k], np.uint32(1 << BITS)), marks[k])
     w = model.weights(np.arange((1 << BITS) + 1))
     at = np.flatnonzero(w)
+    del slots, data, cuts, flat, model
+    release()
     return at, w[at]
 
 
