@@ -267,6 +267,86 @@ def coast_drain(land: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.nd
     return parent.reshape(land.shape), area.reshape(land.shape)
 
 
+def connected(mask: np.ndarray) -> list[np.ndarray]:
+    """The cells of each 8-connected part of a mask, in the order of their first cells."""
+    depth, width = mask.shape
+    open_, out = mask.ravel().tolist(), []
+    for first in np.flatnonzero(mask.ravel()).tolist():
+        if not open_[first]:
+            continue
+        open_[first], part, at = False, [first], 0
+        while at < len(part):
+            z, x = divmod(part[at], width)
+            at += 1
+            for dx, dz in AROUND:
+                if 0 <= x + dx < width and 0 <= z + dz < depth:
+                    q = (z + dz) * width + x + dx
+                    if open_[q]:
+                        open_[q] = False
+                        part.append(q)
+        out.append(np.array(part))
+    return out
+
+
+def drain(h: np.ndarray, cell=50.0, sea_level=-1e30, breach=3.0, lake_area=2e5, lake_depth=2.0, channel_area=1e6, edges=True) -> dict[str, np.ndarray]:
+    """How a raster drains: height (breached or filled), water level, drained area, receiver (-1: outlet), sea, lake and river cells.
+
+    The sea is what lies at or below its level and touches the border through more of it. A depression
+    no deeper than `breach` is cut through along its way out; one of at least lake_area and lake_depth is
+    a lake and keeps its bed; any other is filled. `edges`: water can leave over the border.
+    """
+    depth, width = h.shape
+    h = h.astype(float).copy()
+    rim = np.zeros(h.shape, bool)
+    rim[[0, -1], :] = rim[:, [0, -1]] = True
+    sea = np.zeros(h.size, bool)
+    for part in connected(h <= sea_level):
+        sea[part] = rim.ravel()[part].any()
+    sea = sea.reshape(h.shape)
+    out = sea | rim if edges else sea
+    if not out.any():
+        raise ValueError("water has no way out")
+    level, order = priority_flood(h, 1e-4, out)
+    step: dict[int, int | None] = {}
+    ground, lake = h.ravel(), np.zeros(h.size, bool)
+
+    def way(c: int) -> int | None:
+        """The lower neighbour of the steepest drop of the level."""
+        if c not in step:
+            z, x = divmod(c, width)
+            best, step[c] = 0.0, None
+            for dx, dz in AROUND:
+                if 0 <= x + dx < width and 0 <= z + dz < depth:
+                    drop = (level[z, x] - level[z + dz, x + dx]) / (math.sqrt(2.0) if dx and dz else 1.0)
+                    if drop > best:
+                        best, step[c] = drop, (z + dz) * width + x + dx
+        return step[c]
+
+    for part in connected(level > h + 1e-9):
+        below = level.ravel()[part] - ground[part]
+        if below.max() <= breach:
+            c = int(part[np.lexsort((part, ground[part]))[0]])
+            target, c = ground[c], way(c)
+            while c is not None and not out.ravel()[c] and ground[c] >= target:
+                ground[c] = target
+                c = way(c)
+        elif len(part) * cell * cell >= lake_area and below.max() >= lake_depth:
+            lake[part] = True
+        else:
+            ground[part] = level.ravel()[part]
+    filled, order = priority_flood(h, 1e-4, out)
+    receiver, area = flow(np.pad(filled, 1, constant_values=np.inf), np.array([], int), cell)
+    inner = receiver[1:-1, 1:-1].ravel()
+    z, x = np.divmod(inner, width + 2)
+    to = np.where((inner < 0) | out.ravel(), -1, (z - 1) * width + x - 1)
+    area = [cell * cell] * h.size
+    for i in reversed(order.tolist()):
+        if to[i] >= 0:
+            area[to[i]] += area[i]
+    area, lake = np.array(area).reshape(h.shape), lake.reshape(h.shape)
+    return {"height": h, "level": np.where(lake, filled, h), "area": area, "receiver": to.reshape(h.shape), "sea": sea, "lake": lake, "river": (area >= channel_area) & ~sea & ~lake}
+
+
 def square(mask: np.ndarray, radius: int, steps: list[int]) -> np.ndarray:
     """A mask grown (step > 0) or shrunk (step < 0) by squares of that many times the radius, in turn; what lies beyond the raster is left out."""
     from .stencils import expand, shrink

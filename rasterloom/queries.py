@@ -446,16 +446,31 @@ def _export(spark, sf_dir):
     return terrain_job(spark)
 
 
+def _tiled(spark, sf_dir, width: int, depth: int, scale: float) -> DataFrame:
+    """The event raster cut into rasters of width x depth (fewer at the end), keyed by tile."""
+    tile = (F.floor(F.col("z") / depth) * 1000 + F.floor(F.col("x") / width)).cast("long").alias("tile")
+    return raster(spark, sf_dir, "evt").select(tile, (F.col("x") % width).alias("x"), (F.col("z") % depth).alias("z"), (F.col("v") / scale).alias("v"))
+
+
 @query("stream_power")
 def _stream(spark, sf_dir):
-    rasters = raster(spark, sf_dir, "evt").where("z < 50").select(F.floor(F.col("x") / 50).cast("long").alias("tile"), (F.col("x") % 50).alias("x"), "z", (F.col("v") / 1000).alias("v"))
-    return grids.per_raster(rasters, "tile", lambda v: {"h": grids.stream_power(v, np.full(v.shape, 0.5), 50.0, 8)}, "tile long, x long, z long, h double")
+    run = lambda v: {"h": grids.stream_power(v, np.full(v.shape, 0.5), 50.0, 8) if min(v.shape) > 2 else v}
+    return grids.per_raster(_tiled(spark, sf_dir, 50, 50, 1000.0), "tile", run, "tile long, x long, z long, h double")
 
 
 @query("wind_dunes")
 def _wind(spark, sf_dir):
-    rasters = raster(spark, sf_dir, "evt").where("z < 20").select(F.floor(F.col("x") / 25).cast("long").alias("tile"), (F.col("x") % 25).alias("x"), "z", (F.col("v") / 1500).alias("v"))
-    return grids.per_raster(rasters, "tile", lambda v: {"h": grids.wind(v, iterations=3)}, "tile long, x long, z long, h double")
+    return grids.per_raster(_tiled(spark, sf_dir, 25, 20, 1500.0), "tile", lambda v: {"h": grids.wind(v, iterations=3)}, "tile long, x long, z long, h double")
+
+
+@query("drain_lakes_rivers")
+def _drain_all(spark, sf_dir):
+    def run(v):
+        out = grids.drain(v, 50.0, breach=2.0, lake_area=5000.0, lake_depth=5.0, channel_area=50_000.0)
+        return {k: a.astype(float) for k, a in out.items()}
+
+    columns = ("height", "level", "area", "receiver", "sea", "lake", "river")
+    return grids.per_raster(_tiled(spark, sf_dir, 100, 100, 1000.0), "tile", run, "tile long, x long, z long, " + ", ".join(f"{c} double" for c in columns))
 
 
 @query("drain_coast")

@@ -281,3 +281,20 @@ def test_accumulation_counts_what_is_upstream(spark):
     for k in range(59, 0, -1):
         count[receiver[k]] += count[k]
     assert [tuple(r) for r in raster.accumulate(df).orderBy("cell").collect()] == list(enumerate(count))
+
+
+def test_drainage():
+    bowl = np.full((30, 30), 20.0)
+    bowl += np.arange(30)[:, None] * 0.01
+    bowl[10:20, 10:20] = 5  # a lake: 100 cells, 15 deep
+    bowl[25, 25] -= 1  # breached
+    bowl[3, 3] -= 8  # too small for a lake, too deep to breach: filled
+    out = raster.drain(bowl, cell=50.0, breach=3.0, lake_area=2e5, lake_depth=2.0, channel_area=20 * 2500.0)
+    assert out["lake"].sum() == 100 and (out["lake"][10:20, 10:20]).all() and out["level"][15, 15] == pytest.approx(20.1, abs=0.05) and out["height"][15, 15] == 5
+    assert out["height"][25, 25] == bowl[25, 25] and (out["height"] < bowl - 1e-9).any() and out["height"][3, 3] >= bowl[2, 3] - 0.02
+    assert out["area"][out["receiver"] < 0].sum() == pytest.approx(900 * 2500) and out["river"].any() and not out["sea"].any()
+    shore = np.add.outer(np.zeros(12), np.arange(12.0))
+    wet = raster.drain(shore, cell=1.0, sea_level=3.0, channel_area=4.0)
+    assert wet["sea"][:, :4].all() and not wet["sea"][:, 4:].any() and wet["receiver"][5, 4] in (5 * 12 + 3,)
+    with pytest.raises(ValueError):
+        raster.drain(np.ones((5, 5)), edges=False)
