@@ -570,6 +570,49 @@ class Shapes:
         return p + Vec.Combine(*n)
 
 
+class Lands:
+    """Composition of land and water shapes in order."""
+
+    @staticmethod
+    def Compose(elements):
+        """(signed distance to the coast, id of the nearest land counted from 1) of elements {role, shape, smooth}: land joins what is there, water cuts into it."""
+        coast = nearest = ident = None
+        for n, e in enumerate(elements, 1):
+            e = checked("Lands.Compose", e, {"role": ("land", ("land", "water"), None, None), "shape": (..., Field, None, None), "smooth": (0.0, NUMBER, 0, None)})
+            d, k = scalar(e["shape"], "Lands.Compose", 2), e["smooth"]
+            if e["role"] == "water":
+                if coast is None:
+                    raise PlanError("argument", "Lands.Compose: water comes before any land")
+                coast = Shapes.Subtract(coast, d, smooth=k)
+                continue
+            if coast is None:
+                coast, nearest, ident = d, d, Terrain.Const(value=float(n))
+                continue
+            coast = Shapes.Union(coast, d, smooth=k)
+            ident = Combine.Blend(a=ident, b=float(n), mask=arith("less", d, nearest))
+            nearest = Combine.Min(a=nearest, b=d)
+        if coast is None:
+            raise PlanError("argument", "Lands.Compose needs an element")
+        return coast, ident
+
+    @staticmethod
+    def Scatter(count, region, radius, seed=0, role="land", smooth=0.0):
+        """Elements of `count` circles at jittered places of a lattice over region (x0, z0, x1, z1); radius is (least, most)."""
+        x0, z0, x1, z1 = region
+        across = max(1, math.ceil(math.sqrt(count * (x1 - x0) / max(z1 - z0, 1e-9))))
+        down = -(-count // across)
+        import numpy as np
+
+        rng = np.random.default_rng(seed)
+        out = []
+        for k in range(count):
+            j, i = divmod(k, across)
+            u, v, w = rng.random(3)
+            at = (float(x0 + (i + u) * (x1 - x0) / across), float(z0 + (j + v) * (z1 - z0) / down))
+            out.append({"role": role, "shape": Shapes.Circle(radius=float(radius[0] + w * (radius[1] - radius[0])), at=at), "smooth": smooth})
+        return out
+
+
 class Landforms:
     """A profile of a shape times a height."""
 

@@ -347,6 +347,43 @@ def drain(h: np.ndarray, cell=50.0, sea_level=-1e30, breach=3.0, lake_area=2e5,
     return {"height": h, "level": np.where(lake, filled, h), "area": area, "receiver": to.reshape(h.shape), "sea": sea, "lake": lake, "river": (area >= channel_area) & ~sea & ~lake}
 
 
+def hillshade(h: np.ndarray, cell: float, azimuth: float = 315.0, altitude: float = 45.0) -> np.ndarray:
+    """Lambert shading in [0, 1] with cast shadows; the light's direction is taken to the nearest of eight (degrees from north, clockwise; z grows southwards)."""
+    turn = round(azimuth / 45.0) % 8
+    sx, sz = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))[turn]  # towards the light
+    gz, gx = np.gradient(h, cell)
+    up = math.sin(math.radians(altitude))
+    flat = math.cos(math.radians(altitude)) / math.hypot(sx, sz)
+    light = (-gx * sx * flat - gz * sz * flat + up) / np.sqrt(1 + gx * gx + gz * gz)
+    drop = math.tan(math.radians(altitude)) * cell * math.hypot(sx, sz)
+    shadow = np.full(h.shape, -np.inf)
+    rows = range(h.shape[0]) if sz <= 0 else range(h.shape[0] - 1, -1, -1)
+    columns = range(h.shape[1]) if sx <= 0 else range(h.shape[1] - 1, -1, -1)
+    # cells nearer to the light come first, so each sees the finished shadow of the one before it
+    for z in rows if sz else [slice(None)]:
+        for x in columns if sx else [slice(None)]:
+            q, p = (z if not sz else z + sz), (x if not sx else x + sx)
+            if (not sz or 0 <= q < h.shape[0]) and (not sx or 0 <= p < h.shape[1]):
+                shadow[z, x] = np.maximum(shadow[q, p], h[q, p]) - drop
+    return np.where(shadow > h, 0.0, np.clip(light, 0, 1))
+
+
+def spectrum(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ring numbers, mean power per ring of the detrended, windowed raster, and the slope of a log-log fit from ring 4 to a quarter of the side."""
+    depth, width = h.shape
+    z, x = np.mgrid[0:depth, 0:width]
+    basis = np.stack([np.ones(h.size), x.ravel(), z.ravel()], axis=1)
+    flat = (h.ravel() - basis @ np.linalg.lstsq(basis, h.ravel(), rcond=None)[0]).reshape(h.shape)
+    power = np.abs(np.fft.fft2(flat * np.outer(np.hanning(depth), np.hanning(width)))) ** 2
+    fz, fx = np.fft.fftfreq(depth) * depth, np.fft.fftfreq(width) * width
+    ring = np.floor(np.hypot(*np.meshgrid(fx, fz)) + 0.5).astype(int)
+    n = min(h.shape) // 2
+    mean = np.bincount(ring.ravel(), power.ravel())[1:n] / np.bincount(ring.ravel())[1:n]
+    k = np.arange(1, n)
+    on = (k >= 4) & (k <= min(h.shape) // 4)
+    return k, mean, float(np.polyfit(np.log(k[on]), np.log(mean[on]), 1)[0])
+
+
 def square(mask: np.ndarray, radius: int, steps: list[int]) -> np.ndarray:
     """A mask grown (step > 0) or shrunk (step < 0) by squares of that many times the radius, in turn; what lies beyond the raster is left out."""
     from .stencils import expand, shrink

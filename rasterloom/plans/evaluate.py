@@ -42,6 +42,7 @@ def halo(fields) -> int:
 _ARITH = {
     "add": lambda lane, a, b, k: a + b, "sub": lambda lane, a, b, k: a - b, "mul": lambda lane, a, b, k: a * b, "div": lambda lane, a, b, k: lane.divide(a, b),
     "min": lambda lane, a, b, k: lane.least(a, b), "max": lambda lane, a, b, k: lane.greatest(a, b), "atan2": lambda lane, a, b, k: lane.atan2(a, b),
+    "less": lambda lane, a, b, k: lane.where(a < b, 1.0, 0.0),
     "smooth_min": lambda lane, a, b, k: pw.smooth_min(lane, a, b, k), "smooth_max": lambda lane, a, b, k: pw.smooth_max(lane, a, b, k),
 }
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.errors import PlanError
-from rasterloom.field import Combine, Curves, Erosion, Filters, Landforms, Masks, Noises, Shapes, Strata, Terrain, Vec
+from rasterloom.field import Combine, Curves, Erosion, Filters, Landforms, Lands, Masks, Noises, Shapes, Strata, Terrain, Vec
 from rasterloom.functions import noise
 from rasterloom.functions.lanes import Blocks, u32_mul
 from rasterloom.operators import metrics, raster, stencils, windows
@@ -298,3 +298,27 @@ def test_drainage():
     assert wet["sea"][:, :4].all() and not wet["sea"][:, 4:].any() and wet["receiver"][5, 4] in (5 * 12 + 3,)
     with pytest.raises(ValueError):
         raster.drain(np.ones((5, 5)), edges=False)
+
+
+def test_lands_join_cut_and_name():
+    circle = lambda x, r: Shapes.Circle(radius=r, at=(x, 0.0))
+    coast, ident = Lands.Compose([{"shape": circle(0.0, 10.0)}, {"shape": circle(40.0, 10.0), "smooth": 2.0}, {"role": "water", "shape": circle(0.0, 3.0)}])
+    at = lambda f, x: block({"f": f}, (x, 0), (1, 1), 1.0, 0, np.float64)[0][0, 0]
+    assert at(coast, 0) == 3 and at(coast, 6) == -3 and at(coast, 40) == -10 and [at(ident, x) for x in (0, 19, 21, 60)] == [1, 1, 2, 2]
+    some = Lands.Scatter(12, (0.0, 0.0, 300.0, 200.0), (5.0, 20.0), seed=4)
+    assert len(some) == 12 and (block({"c": Lands.Compose(some)[0]}, (0, 0), (300, 200), 1.0)[0] < 0).any()
+    with pytest.raises(PlanError):
+        Lands.Compose([{"role": "water", "shape": circle(0.0, 1.0)}])
+
+
+def test_hillshade_and_spectrum():
+    wall = np.zeros((20, 30))
+    wall[:, 15] = 10
+    east, west = (raster.hillshade(wall, 1.0, a, 45.0) for a in (90.0, 270.0))
+    assert (east[:, 6:13] == 0).all() and (east[:, 18:] > 0).all() and (west[:, 18:24] == 0).all() and np.allclose(east[:, :4], math.sin(math.pi / 4))
+    assert (raster.hillshade(wall.T, 1.0, 0.0)[17:24] == 0).all() and (raster.hillshade(wall.T, 1.0, 180.0)[6:13] == 0).all()
+    rng = np.random.default_rng(11)
+    f = np.hypot(*np.meshgrid(np.fft.fftfreq(128), np.fft.fftfreq(128)))
+    f[0, 0] = 1
+    h = np.fft.ifft2(np.fft.fft2(rng.normal(size=(128, 128))) / f**1.5).real
+    assert raster.spectrum(h)[2] == pytest.approx(-3, abs=0.35)
