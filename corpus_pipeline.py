@@ -31,7 +31,9 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too many of a source's documents go; a document stays even if no line does."""
-    return _counted(line_dedup.drop_lines(docs).select(*docs.columns))
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}  # columns of the input, not the counts
+    out = line_dedup.drop_lines(docs.withColumnsRenamed(own)).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in own.items()})
+    return _counted(out.select(*docs.columns))
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
