@@ -15,6 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from rasterloom.llm import ctw, fingerprints, line_dedup, ngram_jaccard, nn_descent, packing, secrets, toxicity, warc  # noqa: E402
 from rasterloom.llm import sentencepiece_viterbi as sp  # noqa: E402
+from rasterloom.llm.common import text_bytes  # noqa: E402
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -412,6 +413,22 @@ def test_scores(spark, monkeypatch):
     assert ctw.scores(docs(spark, [])).count() == 0
 
 
+def test_scores_are_of_all_contexts(spark, monkeypatch):
+    """Buckets and chunks give what one tree of all grams gives, also with over 250 000 grams a depth."""
+    monkeypatch.setattr(ctw, "CHUNK", 30_000, raising=False)
+    rnd = random.Random(14)
+    rows = [(i, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=1000)), "s") for i in range(400)] + ODD
+    learnt = [t for i, t, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    for depth in (5, 1):
+        got = sorted((str(r.doc_id), r.score) for r in ctw.scores(docs(spark, rows), depth).collect())
+        raw, offsets = text_bytes(pa.array(learnt))
+        key = ctw.gram_keys(raw, offsets, depth)
+        tree = ctw.Tree([np.unique(key & ctw.U((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(depth + 1)])
+        expected = tree.texts(*text_bytes(pa.array([t for _, t, _ in rows])), depth)
+        expected = sorted((str(i), s) for (i, _, _), s in zip(rows, expected, strict=True))
+        assert [i for i, _ in got] == [i for i, _ in expected] and np.allclose([s for _, s in got], [s for _, s in expected], rtol=1e-5, atol=1e-3)
+
+
 def test_hashes_are_of_tokens():
     from rasterloom.llm import common
 
