@@ -3,7 +3,7 @@
 A page is a row, its site the host column. For each (host, line) the pages of the host that hold
 the line are counted, each page once; a line goes from all pages of the host when that count
 exceeds `ratio` of the host's pages. Hosts of fewer than `min_host_pages` pages give no evidence
-and keep all lines.
+and keep all lines; `min_held` asks for a least number of pages besides the ratio, for small hosts.
 
 Lines travel as 64-bit hashes: the text itself is neither shuffled nor grouped. The count is
 combined on the map side, so a line on a third of all pages costs one row per task. A host has at
@@ -35,20 +35,20 @@ def _blank(line):
     return F.trim(line) == ""
 
 
-def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_host_pages: int = MIN_HOST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_host_pages: int = MIN_HOST_PAGES, min_held: int = 1) -> DataFrame:
     """(host, drop): for each host that has any, the hashes of its boilerplate lines."""
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).where(F.col("host").isNotNull())
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_host_pages)
     lines = F.filter(F.split("text", "\n", -1), lambda x: ~_blank(x))
     held = pages.select("host", F.explode(F.array_distinct(F.transform(lines, _hash))).alias("line"))
-    held = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > ratio * min_host_pages)
+    held = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held")).where((F.col("held") > ratio * min_host_pages) & (F.col("held") >= min_held))
     over = held.join(total, "host").where(F.col("held") > F.lit(float(ratio)) * F.col("pages"))
     return over.groupBy("host").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_host_pages: int = MIN_HOST_PAGES, broadcast_hashes: int = 2_000_000) -> DataFrame:
+def drop_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_host_pages: int = MIN_HOST_PAGES, broadcast_hashes: int = 2_000_000, min_held: int = 1) -> DataFrame:
     """docs with boilerplate lines taken from the text, and the counts n_lines and n_dropped (null for null text)."""
-    found = written(boilerplate(docs, text, host, ratio, min_host_pages), "boilerplate").withColumnsRenamed({"host": "__host", "drop": "__drop"})
+    found = written(boilerplate(docs, text, host, ratio, min_host_pages, min_held), "boilerplate").withColumnsRenamed({"host": "__host", "drop": "__drop"})
     size = found.agg(F.sum(F.size("__drop") + 8)).first()[0] or 0
     found = F.broadcast(found) if size <= broadcast_hashes else found
     out = docs.join(found, docs[host] == found["__host"], "left")

@@ -54,6 +54,15 @@ def test_stages(spark, tmp_path):
     assert Counter(again) == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
 
 
+def test_line_stage_ratio(spark):
+    """A line on 8 % of a source's documents goes, one on 4 % stays; in a small source two documents are too few."""
+    rows = [(i, "\n".join([*(["site line"] if i % 12 == 0 else []), *(["ordinary"] if i % 25 == 0 else []), f"own {i}"]), "big") for i in range(100)]
+    rows += [(200 + i, "\n".join([*(["pair"] if i < 2 else []), *(["three"] if i < 3 else []), f"own {i}"]), "small") for i in range(12)]
+    out = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    got = Counter(x for r in out.collect() for x in r.text.split("\n"))
+    assert got["site line"] == 0 and got["ordinary"] == 4 and got["pair"] == 2 and got["three"] == 0 and got["own 7"] == 2
+
+
 def test_empty_corpus(spark, tmp_path):
     corpus(spark, tmp_path)
     empty = tmp_path / "empty"
