@@ -46,10 +46,14 @@ style submit summary support system table target task team template test text th
 variable vector version video view visible volume water week weight west white width window word work world write year zero""".split()
 PATH_WORDS = ("test", "example", "sample", "fixture", "doc", "lock", "mock", "spec")
 _RUN = r"[A-Za-z0-9+/_.~-]"
+_PREFIX = r"\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})"
+_PREFIXED = re.compile(_PREFIX)
+#: A key goes to its END, or without one before the next BEGIN, over headers and base64 lines to the first other line.
 _RULES = re.compile(
-    r"(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]{0,8000}?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\Z))"
-    r"|(?P<prefix>\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{16,200}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{4,2000}))"
-    r"|(?P<assigned>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer))[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{8,300}))"
+    r"(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:\s*(?:Proc-Type|DEK-Info|Comment|Version): [^\n]*)*+(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}+={0,2})*+(?:\r?\n[A-Za-z0-9+/]+={0,2}(?=\r?\n|\Z))?))"
+    rf"|(?P<prefix>{_PREFIX})"
+    r"|(?P<assigned>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer))[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{8,}))"
     rf"|(?P<run>{_RUN}*[0-9]{_RUN}*={{0,2}})"
 )
 #: A text without any of these has no candidate.
@@ -71,6 +75,12 @@ def candidates(text: str):
                 b -= 1
             while b > a and text[a] in ".~-/":
                 a += 1
+        if kind == "assigned":  # known prefixes count within a value too
+            for p in _PREFIXED.finditer(text, a, b):
+                if p.start() - a >= 8:
+                    yield a, p.start(), kind
+                yield *p.span(), "prefix"
+                a = p.end()
         if b - a >= 8:
             yield a, b, kind
 
