@@ -45,6 +45,7 @@ schema scope screen script search second secret section select send server servi
 style submit summary support system table target task team template test text theme thread time title token total track tree true type under union unique unit update upload user valid value
 variable vector version video view visible volume water week weight west white width window word work world write year zero""".split()
 PATH_WORDS = ("test", "example", "sample", "fixture", "doc", "lock", "mock", "spec")
+_NAME = r"[\w./+~-]"
 _RUN = r"[A-Za-z0-9+/_.~-]"
 _PREFIX = r"\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})"
 _PREFIXED = re.compile(_PREFIX)
@@ -53,7 +54,7 @@ _RULES = re.compile(
     r"(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
     r"|(?:\s*(?:Proc-Type|DEK-Info|Comment|Version): [^\n]*)*+(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}+={0,2})*+(?:\r?\n[A-Za-z0-9+/]+={0,2}(?=\r?\n|\Z))?))"
     rf"|(?P<prefix>{_PREFIX})"
-    r"|(?P<assigned>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer))[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{8,}))"
+    rf"|(?P<assigned>(?<!{_NAME})(?i:{_NAME}*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer)){_NAME}*+[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{8,}}))"
     rf"|(?P<run>{_RUN}*[0-9]{_RUN}*={{0,2}})"
 )
 #: A text without any of these has no candidate.
@@ -146,6 +147,7 @@ def labelled_findings(seed: int = 11, n: int = 6000) -> list[tuple[str, str, str
     syllables = [draw("bcdfghklmnprstvwz", 1) + draw("aeiou", 1) + draw("nrstl", rnd.randint(0, 1)) for _ in range(60)]
     word = lambda: pick(WORDS) if rnd.random() < 0.4 else "".join(pick(syllables) for _ in range(rnd.randint(1, 4)))
     prose = lambda k: " ".join(word() for _ in range(k))
+    compound = lambda: pick([str.upper, str])(pick(["db", "github", "aws", "app", "my", "prod", word()]) + pick("_-._") + pick(NAMES) + pick(["", "", "_key", "_value", "_2"]))
     hexes, mixed, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     paths = ["src/main/config.py", "deploy/prod.env", "site7", "src3", "notes.txt", "tests/test_login.py", "docs/example.md", "package-lock.json", ""]
     out = []
@@ -154,7 +156,7 @@ def labelled_findings(seed: int = 11, n: int = 6000) -> list[tuple[str, str, str
         path = pick(paths)
         upper = rnd.random() < 0.08  # shouted documents
         if rnd.random() < 0.5:
-            form, quote = rnd.randrange(6), pick(["", "'", '"'])
+            form, quote = rnd.randrange(10), pick(["", "'", '"'])
             sep = pick(["=", " = ", ": ", ":", "=", " = "])
             if form == 0:
                 item = ("AKIA" + draw(string.ascii_uppercase + "234567", 16), lead, tail, path, "prefix", 1)
@@ -166,10 +168,18 @@ def labelled_findings(seed: int = 11, n: int = 6000) -> list[tuple[str, str, str
                 item = (draw(mixed + "!@#$%", rnd.randint(10, 32)), lead + name + sep + quote, quote + tail, path, "assigned", 1)
             elif form == 4:
                 item = (draw(b64, rnd.randint(20, 88)), lead + name + sep + quote, quote + tail, path, "assigned", 1)
+            elif form == 6:  # compound names
+                item = (draw(mixed + "!@#$%/", rnd.randint(10, 40)), lead + compound() + sep + quote, quote + tail, path, "assigned", 1)
+            elif form == 7:  # without digits
+                item = (draw(pick([string.ascii_lowercase, string.ascii_letters, string.ascii_letters + "/+!"]), rnd.randint(10, 40)), lead + pick([name, compound()]) + sep + quote, quote + tail, path, "assigned", 1)
+            elif form == 8:  # words joined by signs
+                item = (pick("!@#$%").join(word() for _ in range(rnd.randint(2, 4))), lead + pick([name, compound()]) + sep + quote, quote + tail, path, "assigned", 1)
+            elif form == 9:  # named in prose
+                item = (draw(pick([mixed, b64]), rnd.randint(16, 48)), lead + pick([name, compound()]) + pick([" ", " is ", " was ", " -> "]) + quote, quote + tail, path, "run", 1)
             else:
                 item = (f"-----BEGIN {pick(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n" + "\n".join(draw(b64, 64) for _ in range(rnd.randint(1, 12))), lead, tail, path, "pem", 1)
         else:
-            form = rnd.randrange(12)
+            form = rnd.randrange(13)
             near = pick(HARMLESS)
             if form == 0:
                 item = (draw(hexes, pick([7 + 1, 12, 32, 40, 64])), lead + near + pick([" ", ": ", "="]), tail, path, "run", 0)
@@ -194,6 +204,8 @@ def labelled_findings(seed: int = 11, n: int = 6000) -> list[tuple[str, str, str
                 item = (f"{pick(['settings', 'config', 'os.environ', 'self', 'request'])}.{word()}_{word()}", lead + name + pick([" = ", "=", ": "]), tail, path, "assigned", 0)
             elif form == 10:
                 item = ("/".join(word() for _ in range(rnd.randint(2, 5))) + f"/{rnd.randrange(9999)}" + pick(["", ".html", ".png"]), lead + pick(["", "http://", "/"]), tail, path, "run", 0)
+            elif form == 11:  # ordinary words that hold a name
+                item = ("".join(pick(syllables) for _ in range(rnd.randint(3, 5))).capitalize(), lead + pick(["author", "authority", "tokenizer", "secretary", "authors"]) + pick([": ", "=", " = "]), tail, path, "assigned", 0)
             else:
                 item = (f"{word()}{pick([' ', ''])}".strip() + word() + word(), lead + pick(["the ", "a ", ""]) + name + pick([": ", "="]), tail, path, "assigned", 0)
         if upper:

@@ -71,6 +71,20 @@ def test_candidates_are_whole():
     assert found(f"a {key}\nthen words\n{'more words ' * 900}") == [(key, "pem")]
 
 
+def test_compound_names():
+    text = {"DB_PASSWORD=": "correct!horse!staple", "SECRET_KEY=": "abcdefghijkl", "GITHUB_TOKEN: ": "abcdefghijklmnop", "aws_secret_access_key = ": "abcdEFGH/abcd", "db2.password-old=": "qwrtzpsdfg"}
+    for name, value in text.items():
+        t = f"x {name}{value} y"
+        assert [(t[a:b], kind) for a, b, kind in secrets.candidates(t)] == [(value, "assigned")]
+    made = [r for r in secrets.labelled_findings(seed=98, n=4000) if r[5]]
+    assert any(r[4] == "run" for r in made) and any(r[4] == "assigned" and not any(c.isdigit() for c in r[0]) for r in made)
+    forest = secrets.train(secrets.labelled_findings())
+    runs = [r for r in made if r[4] == "run" or not any(c.isdigit() for c in r[0])]
+    assert (forest(np.array([secrets.features(*r[:5]) for r in runs])) >= 0.5).mean() > 0.9
+    texts = [f"x {name}{value} y" for name, value in text.items() if value != "abcdefghijkl"]  # a candidate, but in alphabetical order
+    assert all(s >= 0.5 for *_, s in secrets.findings(texts, ["src"] * len(texts), forest))
+
+
 # --- 2 ---
 
 
