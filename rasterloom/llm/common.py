@@ -12,10 +12,10 @@ import ctypes
 import gc
 import os
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: Odd multiplier of the prefix hash and its inverse modulo 2**64, and the mixer's multipliers.
@@ -34,9 +34,11 @@ def arrow_rows(spark, rows: int = 1000) -> None:
 
 
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
+    """The folder that driver and executors share; set only where a local session names none, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"/tmp/checkpoints/{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():
@@ -44,22 +46,56 @@ def shared_dir(spark) -> str:
     return base
 
 
+def qualified(spark, path: str) -> str:
+    """path with the scheme that Spark's readers and writers take it to have."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+#: Folders of the tables that written() has made and nobody has dropped yet, oldest first.
+WRITTEN: list[str] = []
+
+
 def written(df, name: str):
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df) -> None:
-    """Delete the files of a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        with contextlib.suppress(Exception):
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+def drop_written(spark, paths: list[str]) -> None:
+    """Delete tables that written() made, once no plan reads them any more."""
+    for path in paths:
+        with contextlib.suppress(Exception):  # a folder that stays is no harm to results
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
+#: A key is hot when it holds more than this share of the rows, and HOT_ROWS at least; so at most 1 / HOT_SHARE keys are.
+HOT_SHARE, HOT_ROWS = 1 / 2000, 500
+
+
+def hot_join(df, key: str, right, right_key: str, how: str = "left", rows: int | None = None):
+    """df joined with right, which has one row a right_key, on df[key] = right[right_key].
+
+    Rows of hot keys stay where they are: the rows of right with these keys, at most 1 / HOT_SHARE,
+    are broadcast. The others are joined by a shuffle, in which no key is hot. df and right are read
+    more than once, so they should be tables.
+    """
+    rows = df.count() if rows is None else rows
+    hot = []
+    if rows > HOT_ROWS:
+        held = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+        hot = [r[0] for r in held.where(F.col("__n") > max(HOT_ROWS, HOT_SHARE * rows)).select("__hot").collect()]  # at most 1 / HOT_SHARE
+    on = lambda a, b: a.join(b, a[key] == b[right_key], how)
+    if not hot:
+        return on(df, right)
+    is_hot = F.coalesce(df[key].isin(hot), F.lit(False))
+    return on(df.where(is_hot), F.broadcast(right.where(F.col(right_key).isin(hot)))).unionByName(on(df.where(~is_hot), right.where(~F.coalesce(F.col(right_key).isin(hot), F.lit(False)))))
 
 
 _CACHES: list[dict] = []
@@ -89,10 +125,6 @@ def claim(owner: str) -> None:
         release()
 
 
-def doc_crc(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that nearby hashes differ in all bits."""
     h = h ^ (h >> U(30))

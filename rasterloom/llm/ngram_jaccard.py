@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, arrow_rows, claim, gram_hashes, mix64, table, text_bytes, token_hashes, tokens, written
+from .common import U, arrow_rows, claim, gram_hashes, hot_join, mix64, table, text_bytes, token_hashes, tokens, written
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 75, 0.02
@@ -209,7 +209,7 @@ def _counted(buckets: int):
         for b, at in _groups(((sig >> U(40)) * U(buckets) >> U(24)).astype(np.int64)):
             s, h, v = sig[at], held[at], low[at]
             classes, index = np.unique(s, return_inverse=True)
-            alone = np.bincount(index[h == 1], minlength=len(classes)).astype("<u2")
+            alone = np.bincount(index[h == 1], minlength=len(classes)).astype("<u4")
             k = h > 1
             head = np.array([len(classes), int(k.sum())], "<u4")
             blob = b"".join(x.tobytes() for x in (head, classes, alone, index[k].astype("<u4"), (v[k] & U(0xFFFFFFFF)).astype("<u4"), (v[k] >> U(32)).astype("u1"), np.minimum(h[k], 65534).astype("<u2")))
@@ -237,7 +237,7 @@ def _survivors(percent: int):
             bucket = int(np.frombuffer(blob, "<u4", 1)[0])
             n, m = np.frombuffer(blob, "<u4", 2, 4).tolist()
             at, x = 12, []
-            for t, k in (("<u8", n), ("<u2", n), ("<u4", m), ("<u4", m), ("u1", m), ("<u2", m)):
+            for t, k in (("<u8", n), ("<u4", n), ("<u4", m), ("<u4", m), ("u1", m), ("<u2", m)):
                 x.append(np.frombuffer(blob, t, k, at))
                 at += x[-1].nbytes
             lone.append(x[0])
@@ -246,7 +246,7 @@ def _survivors(percent: int):
             values.append((U(bucket) << U(40)) | (x[4].astype(U) << U(32)) | x[3].astype(U))
             often.append(x[5])
         cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        sig, value, held, lone, alone = cat(sigs, U), cat(values, U), cat(often, "<u2").astype(np.int64), cat(lone, U), cat(alone, "<u2").astype(np.int64)
+        sig, value, held, lone, alone = cat(sigs, U), cat(values, U), cat(often, "<u2").astype(np.int64), cat(lone, U), cat(alone, "<u4").astype(np.int64)
         order = np.lexsort((value, held, sig))
         sig, value, held = sig[order], value[order], held[order]
         new = np.ones(len(sig), bool)
@@ -437,10 +437,9 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets, left = classes(docs, words, percent)
     comp = links(left, percent)
-    named = sets.join(comp, sets["sig"] == comp["v"], "left").select("doc_id", "n", F.coalesce("comp", "sig").alias("comp"))
-    named = written(named, "named")
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")).withColumnRenamed("comp", "c")
-    out = named.join(least, named["comp"] == least["c"], "left")
+    named = written(hot_join(sets, "sig", comp, "v").select("doc_id", "n", "sig", F.coalesce("comp", "sig").alias("comp")), "named")
+    least = written(named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")).withColumnRenamed("comp", "c"), "least")
+    out = hot_join(named, "comp", least, "c")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
