@@ -146,6 +146,15 @@ def test_jaccard_with_shingles_in_most_classes(spark, monkeypatch):
     assert any(isinstance(v, tuple) and len(v[0]) for v in seen), "no shingle was frequent enough"
 
 
+def test_jaccard_with_over_65536_lone_shingles(spark, monkeypatch):
+    """Shingles that one text alone holds are counted whole, however many lie in a bucket."""
+    monkeypatch.setattr(ngram_jaccard, "BUCKETS", 1)
+    base = [f"b{k}" for k in range(90_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:60_000] + [f"c{k}" for k in range(70_000)])), (3, " ".join(base[:89_000] + [f"d{k}" for k in range(1000)]))]
+    got = sorted(map(tuple, ngram_jaccard.similarity_components(docs(spark, [(i, t, "s") for i, t in rows])).collect()))
+    assert got == brute_components(rows) and got[1][2] == 2 and got[2][2] == 1
+
+
 def test_jaccard_empty(spark):
     assert ngram_jaccard.similarity_components(docs(spark, [])).count() == 0
     assert {tuple(r) for r in ngram_jaccard.similarity_components(docs(spark, [(1, None, "a"), (2, "", "a")])).collect()} == {(1, 0, 1), (2, 0, 2)}
@@ -167,7 +176,7 @@ def test_lines(spark):
             expected.append((i, None, None, None))
             continue
         lines = t.split("\n")
-        kept = [x for x in lines if not x.strip() or s is None or total[s] < 10 or not count[s, x] > 0.1 * total[s]]
+        kept = [x for x in lines if not x.strip() or s is None or not (count[s, x] >= 3 and count[s, x] > 0.065 * total[s])]
         expected.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     df = docs(spark, rows)
     got = [tuple(r) for r in line_dedup.drop_lines(df).select("doc_id", "text", "n_lines", "n_dropped").collect()]
@@ -177,6 +186,40 @@ def test_lines(spark):
     assert line_dedup.drop_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_hot_hosts(spark, monkeypatch):
+    """Hot hosts take the broadcast, others the join, with the same result; columns may have any names."""
+    rnd = random.Random(14)
+    rows = [(i, "\n".join([*(["menu"] if i % 2 else []), *(["pair"] if i in (3, 150) else []), *words(rnd, 2, 10_000)]), "big" if i < 120 else f"s{i % 4}") for i in range(160)] + ODD
+    df = docs(spark, rows).selectExpr("*", "1 as __host", "2 as __drop", "3 as __kept", "4 as __n", "5 as __k", "6 as line")
+    df = df.withColumnRenamed("n_lines", "N_LINES")
+    plain = line_dedup.drop_lines(df)
+    got = Counter(map(tuple, plain.collect()))
+    assert plain.columns == [c for c in df.columns if c != "N_LINES"] + ["n_lines", "n_dropped"] and plain.where("n_dropped > 0").count() > 70
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 30)
+    assert line_dedup._totals(df, "source")[1] == ["big"]
+    for limit in (2_000_000, 0):
+        assert Counter(map(tuple, line_dedup.drop_lines(df, broadcast_hashes=limit).collect())) == got
+    assert any("pair" in r.text.split("\n") for r in plain.where("text like '%pair%'").collect())
+
+
+def test_hot_join(spark, monkeypatch):
+    from rasterloom.llm import common
+    from rasterloom.llm.components import components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    left = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(200)] + [(1000, None)], "i long, k long")
+    right = spark.createDataFrame([(k, str(k)) for k in range(0, 200, 2)] + [(7, "hot")], "rk long, v string")
+    names = dict([(k, str(k)) for k in range(0, 200, 2)] + [(7, "hot")])
+    expected = sorted((i, names.get(7 if i % 3 else i)) for i in range(200)) + [(1000, None)]
+    assert sorted((r.i, r.v) for r in common.hot_join(left, "k", right, "rk").collect()) == expected
+    assert sorted((r.i, r.v) for r in common.hot_join(left, "k", right, "rk", "inner").collect()) == [x for x in expected if x[1] is not None]
+    before = len(common.WRITTEN)
+    links = [(5, i) for i in range(6, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(3, 5), (2000, 2000)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {i: 3 for i in [3, *range(5, 300)]} | {i: 1000 for i in range(1000, 1041)} | {2000: 2000}
+    assert len(common.WRITTEN) <= before + 4  # tables of rounds that are over are deleted
+
+
 # --- 4 ---
 
 
