@@ -16,10 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import line_dedup, ngram_jaccard, packing, secrets, toxicity
-from rasterloom.llm.common import table, written
-
-#: On scale 0.1 ordinary lines are on at most 4.8 % of a source's documents, the site-wide line on 8.6 % to 13.2 %. In small sources a line must be on three documents.
-LINE_RATIO, LINE_HELD = 0.065, 3
+from rasterloom.llm.common import WRITTEN, drop_written, table, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -35,7 +32,7 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too many of a source's documents go; a document stays even if no line does."""
     own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}  # columns of the input, not the counts
-    out = line_dedup.drop_lines(docs.withColumnsRenamed(own), ratio=LINE_RATIO, min_held=LINE_HELD).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in own.items()})
+    out = line_dedup.drop_lines(docs.withColumnsRenamed(own)).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in own.items()})
     return _counted(out.select(*docs.columns))
 
 
@@ -70,7 +67,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(spark, [p for p in WRITTEN[mark:] if p != WRITTEN[-1]])  # the stage's own tables and its input
     return STAGES[-1][1](spark, docs, sf_dir)
