@@ -12,7 +12,8 @@ ever holds a whole record besides the row that Spark hands over.
 
 The page a payload belongs to is grouped by its digest: only digests are shuffled, and only pages
 that revisit another travel as a table to join. A digest that a third of all pages share costs one
-row per task before the shuffle.
+row per task before the shuffle, and its pages meet a broadcast row instead of one task (hot_join);
+so do revisits of one response when they are read back.
 
 Defined cases: null html is an empty payload; a null url becomes `about:blank` and characters that
 a header can't hold are percent-encoded; rows with the same page_id and payload are all written,
@@ -34,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, claim, shared_dir, table, written
+from .common import arrow_rows, claim, hot_join, qualified, shared_dir, table, written
 
 CHUNK, ARCHIVE_BYTES = 1 << 20, 256 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -53,6 +54,16 @@ def page_of(record: str) -> int | None:
     return None if found == "null" else int(found)
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI in Hadoop's spelling: `file:/x` is local, `s3a://` is `s3://`."""
+    scheme, found, rest = uri.partition(":")
+    if not found or "/" in scheme:
+        raise ValueError(f"{uri} has no scheme")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
 def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
@@ -65,15 +76,15 @@ def _slices(value: pa.StringScalar, step: int = CHUNK):
 def _write(folder: str):
     def run(batches):
         claim(__name__)
-        where, root = fs.FileSystem.from_uri(folder)
+        where, root = filesystem(folder)
         where.create_dir(root, recursive=True)
-        out, path, size, records = None, "", 0, 0
+        out, name, size, records = None, "", 0, 0
         for b in batches:
             page, url, html, sha, refers, revisit = b.columns
             for k in range(len(b)):
                 if out is None:
-                    path, size, records = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = where.open_output_stream(path, compression=None)
+                    name, size, records = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = where.open_output_stream(f"{root}/{name}", compression=None)
                     info = b"software: warc writer\r\nformat: WARC File Format 1.1\r\n"
                     size += _record(out, [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], len(info), (info,))
                 n, slices = _slices(html[k])
@@ -92,10 +103,10 @@ def _write(folder: str):
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     out = None
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64())], names=["archive", "records"])
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64())], names=["archive", "records"])
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64())], names=["archive", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64())], names=["archive", "records"])
 
     return run
 
@@ -205,7 +216,7 @@ def _read(chunk: int, data: bool):
         claim(__name__)
         for b in batches:
             for uri in b.column(0).to_pylist():
-                where, path = fs.FileSystem.from_uri(uri)
+                where, path = filesystem(uri)
                 rows, size = [], 0
                 with where.open_input_stream(path, compression=None) as f:
                     for head, number, part, sha, total, last in records(f, chunk):
@@ -224,13 +235,15 @@ def _read(chunk: int, data: bool):
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, broadcast_rows: int = 200_000) -> DataFrame:
-    """Write pages (page_id, url, html) as archives under folder, a URI that all executors can write to; gives (archive, records)."""
+    """Write pages (page_id, url, html) as archives under folder, which all executors can write to; gives (archive, records)."""
+    folder = qualified(pages.sparkSession, folder)
     arrow_rows(pages.sparkSession, 256)
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("size"))
     ids = pages.where(F.col("size") >= least_bytes).select("page_id", "sha")
+    ids = written(ids, "digests")
     top = ids.groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null").select(F.col("sha").alias("s"), "top")
-    again = ids.join(top, ids["sha"] == top["s"]).where("page_id is null or page_id < top").select(F.col("page_id").alias("p"), "s", "top").distinct()
+    again = hot_join(ids, "sha", written(top, "tops"), "s", "inner").where("page_id is null or page_id < top").select(F.col("page_id").alias("p"), "s", "top").distinct()
     again = written(again, "revisits")
     again = F.broadcast(again) if again.count() <= broadcast_rows else again
     match = pages["page_id"].eqNullSafe(again["p"]) & (pages["sha"] == again["s"]) & (pages["size"] >= least_bytes)
@@ -248,19 +261,17 @@ def read_chunks(archives: DataFrame, chunk: int = CHUNK, data: bool = True) -> D
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages, read the archives back; per record its page, payload size and digest as read, type and what it refers to."""
-    base = shared_dir(pages.sparkSession)
-    folder = f"{base if '://' in base or base.startswith('/') else 'file:/' + base}/warc/{uuid.uuid4().hex}"
-    scheme = folder.split("://")[0] + "://" if "://" in folder else ""
+    spark = pages.sparkSession
+    folder = f"{qualified(spark, shared_dir(spark))}/warc/{uuid.uuid4().hex}"
     archives = written(write_archives(pages, folder, least_bytes), "archives")
-    if scheme not in ("", "file://"):
-        archives = archives.withColumn("archive", F.concat(F.lit(scheme), "archive"))
     got = read_chunks(archives, data=False).where("last").select("record_id", "record_type", "refers_to", "declared", "bytes_so_far", "digest_so_far")
     got = written(got, "records")
     number = lambda c: F.expr(f"try_cast(substring({c}, 11, length({c}) - 11) as long)")
     whole = got.where("record_type = 'response'")
-    paid = whole.groupBy("record_id", "digest_so_far").agg(F.max("bytes_so_far").alias("full")).withColumnsRenamed({"record_id": "r", "digest_so_far": "d"})
-    again = got.where("record_type = 'revisit'")
-    again = again.join(paid, (again["refers_to"] == paid["r"]) & (again["declared"] == paid["d"]), "left")
+    # a page_id can be there with several payloads, so a response is known by its id and digest
+    paid = whole.groupBy(F.concat_ws(" ", "record_id", "digest_so_far").alias("r")).agg(F.max("bytes_so_far").alias("full"))
+    again = got.where("record_type = 'revisit'").withColumn("of", F.concat_ws(" ", "refers_to", "declared"))
+    again = hot_join(again, "of", written(paid, "responses"), "r")
     columns = lambda size, digest: [number("record_id").alias("page_id"), F.col(size).alias("payload_bytes"), F.col(digest).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")]
     return whole.select(*columns("bytes_so_far", "digest_so_far")).unionByName(again.select(*columns("full", "declared")))
 

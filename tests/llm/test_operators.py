@@ -379,6 +379,27 @@ def test_warc(spark, least):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_of_a_hot_digest(spark, monkeypatch):
+    """A payload that most pages share, with revisits joined and broadcast."""
+    from rasterloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(i, "u", "same" if i % 3 else f"own {i % 40}") for i in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, warc.round_trip(df).collect()), key=str) == brute_warc(rows)
+    write = warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda pages, folder, least: write(pages, folder, least, broadcast_rows=0))
+    assert sorted(map(tuple, warc.round_trip(df).collect()), key=str) == brute_warc(rows)
+
+
+def test_warc_paths(tmp_path):
+    for uri in (f"file:{tmp_path}/x", f"file://{tmp_path}/x"):
+        where, path = warc.filesystem(uri)
+        assert path == f"{tmp_path}/x" and type(where).__name__ == "LocalFileSystem"
+    with pytest.raises(ValueError):
+        warc.filesystem("/no/scheme")
+
+
 def test_warc_chunks(spark, tmp_path):
     body = "".join(chr(97 + k % 26) for k in range(50_000))
     df = spark.createDataFrame([(1, "u", body), (2, "u", "")], "page_id long, url string, html string")
