@@ -1,18 +1,27 @@
 """Secret scans: wide candidate rules, then a random forest that removes false positives.
 
 Candidates are runs that could be credentials: known prefixes, values assigned to names, PEM keys,
-and any run of at least 8 characters with a digit in it. The forest sees, per candidate, its length
-and character classes, how often the class changes from one character to the next and how usual its
-letter pairs are, the share of its letters that dictionary words cover, words in the path, and the
-words just before and after. It is trained on labelled findings (value, before, after, path, label),
-at most `SAMPLE` of them, the smallest by a hash; `labelled_findings` makes a set by rule from a seed
-for use where no reviewed set is at hand. Trees are flat arrays of bounded size and are broadcast.
+and any run of at least 8 characters with a digit in it. Each rule looks at a character a bounded
+number of times, so whole texts of any length are scanned in linear time. The forest sees, per
+candidate, its length and character classes, how often the class changes from one character to the
+next and how usual its letter pairs are, the share of its letters that dictionary words cover, words
+in the path, and the words just before and after.
+
+The dictionary and the letter pairs are the corpus's own: words of letters on at least
+`WORD_SHARE` of all documents, besides a short list of words of code. There are at most (words a
+document) / WORD_SHARE of them whatever the corpus; they are counted exactly and broadcast.
+
+The forest is trained on labelled findings (value, before, after, path, kind, label), at most `SAMPLE`
+of them, the smallest by a hash; `labelled_findings` makes a set by rule from a seed, in words of the
+dictionary, for use where no reviewed set is at hand. Trees are flat arrays of bounded size.
 
 Scanning is one pass over whole texts without a shuffle. Rows carry positions, not the values.
 
-Defined cases: null or empty text has no candidates; overlapping matches count once, the earlier and
-then longer one; a null path has no path words; repeated rows are scanned each; ties at the
-threshold are secrets; an empty table gives an empty result; other columns pass through `redact`.
+Defined cases: null or empty text has no candidates; a text of any length is scanned and its values
+are taken whole; overlapping matches count once, the earlier and then longer one; a null path has no
+path words; repeated rows are scanned each; ties at the threshold are secrets; an empty table gives
+an empty result and the short word list as dictionary; other columns pass through `redact`, under
+any name.
 """
 
 from __future__ import annotations
@@ -21,15 +30,18 @@ import hashlib
 import random
 import re
 import string
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, claim, table
+from .common import IS_PUNCT, arrow_rows, claim, table, text_bytes, tokens
 
 TREES, DEPTH, BINS, LEAST_LEAF, SAMPLE, THRESHOLD = 40, 9, 32, 4, 20_000, 0.5
+#: Dictionary words are on this share of the documents at least, and have WORD_LETTERS letters.
+WORD_SHARE, WORD_LETTERS = 1e-3, (3, 20)
 MASK = "[SECRET]"
 #: Names that stand before secrets, words that stand near harmless runs, words of ordinary identifiers and paths.
 NAMES = "password passwd pwd secret token apikey api_key access_key auth credential private_key client_secret bearer login".split()
@@ -47,105 +59,178 @@ variable vector version video view visible volume water week weight west white w
 PATH_WORDS = ("test", "example", "sample", "fixture", "doc", "lock", "mock", "spec")
 _NAME = r"[\w./+~-]"
 _RUN = r"[A-Za-z0-9+/_.~-]"
-_PREFIX = r"\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})"
+_PREFIX = r"(?:\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{16,})|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})"
 _PREFIXED = re.compile(_PREFIX)
 #: A key goes to its END, or without one before the next BEGIN, over headers and base64 lines to the first other line.
+#: Names and runs begin where no such character stands before, so each is tried once.
 _RULES = re.compile(
     r"(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
     r"|(?:\s*(?:Proc-Type|DEK-Info|Comment|Version): [^\n]*)*+(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}+={0,2})*+(?:\r?\n[A-Za-z0-9+/]+={0,2}(?=\r?\n|\Z))?))"
     rf"|(?P<prefix>{_PREFIX})"
-    rf"|(?P<assigned>(?<!{_NAME})(?i:{_NAME}*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer)){_NAME}*+[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{8,}}))"
-    rf"|(?P<run>{_RUN}*[0-9]{_RUN}*={{0,2}})"
+    rf"|(?P<assigned>(?<!{_NAME})(?={_NAME}++[\"']?\s{{0,3}}[:=])(?=(?i:{_NAME}*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer))){_NAME}++[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{8,}}+))"
+    rf"|(?P<run>(?<!{_RUN}){_RUN}*[0-9]{_RUN}*+={{0,2}})"
 )
-#: A text without any of these has no candidate.
-_SOME = re.compile(r"[0-9]|AKIA|ASIA|BEGIN|xox|(?i:passw|pwd|secret|token|key|auth|cred|bearer)")
+#: What may follow a known prefix without a gap.
+_TAIL = re.compile(rf"{_RUN}*[0-9]{_RUN}*+={{0,2}}")
+#: A text without any of these has no candidate: a run has a digit, an assignment its sign, and the others their beginning.
+_SIGNS = re.compile(r"[0-9:=]")
+_BEGINNINGS = ("AKIA", "ASIA", "AIza", "-----BEGIN ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyJ")
 _WORD = re.compile(r"[A-Za-z]+")
 KINDS = ("pem", "prefix", "assigned", "run")
 SCHEMA = "doc_id long, start long, length long, kind string, value_sha256 string, score double, is_secret int"
 
 
+def _apart(text: str, a: int, b: int, kind: str):
+    """A value or run, with the known prefixes in it as candidates of their own."""
+    for p in _PREFIXED.finditer(text, a, b):
+        if p.start() - a >= 8:
+            yield a, p.start(), kind
+        yield *p.span(), "prefix"
+        a = p.end()
+    if kind == "run":
+        while b > a and text[b - 1] in ".~-/":
+            b -= 1
+        while b > a and text[a] in ".~-/":
+            a += 1
+    if b - a >= 8:
+        yield a, b, kind
+
+
 def candidates(text: str):
     """(start, end, kind) of each candidate in order, without overlap."""
-    if not text or not _SOME.search(text):
+    if not text or not (_SIGNS.search(text) or any(x in text for x in _BEGINNINGS)):
         return
-    for m in _RULES.finditer(text):
+    at = 0
+    while m := _RULES.search(text, at):
         kind = m.lastgroup if m.lastgroup != "value" else "assigned"
-        a, b = m.span("value") if kind == "assigned" else m.span()
-        if kind == "run":
-            while b > a and text[b - 1] in ".~-/":
-                b -= 1
-            while b > a and text[a] in ".~-/":
-                a += 1
-        if kind == "assigned":  # known prefixes count within a value too
-            for p in _PREFIXED.finditer(text, a, b):
-                if p.start() - a >= 8:
-                    yield a, p.start(), kind
-                yield *p.span(), "prefix"
-                a = p.end()
-        if b - a >= 8:
-            yield a, b, kind
-
-
-_BY_FIRST: dict[str, list[str]] = {}
-for _w in sorted(WORDS, key=len, reverse=True):
-    _BY_FIRST.setdefault(_w[:3], []).append(_w)
-
-
-def _covered(value: str) -> float:
-    """The share of the letters that dictionary words cover, longest first from the left."""
-    letters = covered = 0
-    for m in _WORD.finditer(value.lower()):
-        run, at = m[0], 0
-        letters += len(run)
-        while at < len(run):
-            for w in _BY_FIRST.get(run[at : at + 3], ()):
-                if run.startswith(w, at):
-                    covered += len(w)
-                    at += len(w)
-                    break
-            else:
-                at += 1
-    return covered / letters if letters else 0.0
+        at = m.end()
+        if kind == "assigned":
+            yield from _apart(text, *m.span("value"), kind)
+        elif kind == "run":
+            yield from _apart(text, *m.span(), kind)
+        else:
+            yield *m.span(), kind
+            if kind == "prefix" and (t := _TAIL.match(text, at)):
+                at = t.end()
+                yield from _apart(text, *t.span(), "run")
+
+
+def word_pairs(words: Iterable[str]) -> np.ndarray:
+    """How usual a pair of letters is in words: log of the add-one share by first letter."""
+    pairs = np.ones((26, 26))
+    for w in words:
+        c = np.frombuffer(w.encode(), np.uint8).astype(int) - 97
+        np.add.at(pairs, (c[:-1], c[1:]), 1)
+    return np.log(pairs / pairs.sum(axis=1, keepdims=True))
+
+
+class Words:
+    """A dictionary: lower-case words of a-z, and how usual their letter pairs are."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        self.words = frozenset(WORDS) | frozenset(words)
+        self.longest = max(map(len, self.words))
+        self.pairs = word_pairs(sorted(self.words))
+
+    def covered(self, value: str) -> float:
+        """The share of the letters that words cover, longest first from the left."""
+        letters = covered = 0
+        for m in _WORD.finditer(value.lower()):
+            run, at = m[0], 0
+            letters += len(run)
+            while at < len(run):
+                for n in range(min(self.longest, len(run) - at), WORD_LETTERS[0] - 1, -1):
+                    if run[at : at + n] in self.words:
+                        covered += n
+                        at += n
+                        break
+                else:
+                    at += 1
+        return covered / letters if letters else 0.0
+
+
+def _word_counts(batches):
+    """(word, n): in how many of a task's documents each word of letters is."""
+    claim(__name__)
+    held: dict[bytes, int] = {}
+    lo, hi = WORD_LETTERS
+    for b in batches:
+        raw, offsets = text_bytes(b.column(0))
+        low = raw | np.where((raw >= 65) & (raw <= 90), 32, 0).astype(np.uint8)
+        starts, ends, doc = tokens(raw, offsets, IS_PUNCT)
+        size = ends - starts
+        on = (size >= lo) & (size <= hi)
+        starts, size, doc = starts[on], size[on], doc[on]
+        for n in range(lo, hi + 1):
+            at = np.flatnonzero(size == n)
+            if not len(at):
+                continue
+            letters = low[starts[at][:, None] + np.arange(n)]
+            fine = ((letters >= 97) & (letters <= 122)).all(axis=1)
+            word = np.ascontiguousarray(letters[fine]).view(f"S{n}").ravel()
+            word, index = np.unique(word, return_inverse=True)
+            pair = np.unique((doc[at][fine] * np.int64(max(1, len(word)))) + index)
+            for w, k in zip(word.tolist(), np.bincount(pair % max(1, len(word)), minlength=len(word)).tolist(), strict=True):
+                held[w] = held.get(w, 0) + k
+        if len(held) > 400_000:
+            yield _word_batch(held)
+            held = {}
+    if held:
+        yield _word_batch(held)
+
+
+def _word_batch(held):
+    return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+
+def dictionary(docs: DataFrame, text: str = "text", share: float = WORD_SHARE) -> Words:
+    """The words on at least `share` of all documents: at most (words a document) / share of them."""
+    arrow_rows(docs.sparkSession)
+    held = docs.select(F.col(text).alias("text")).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = docs.count()
+    return Words(r[0] for r in held.where(F.col("n") >= max(2, share * total)).select("word").collect())
 
 
-#: How usual a pair of letters is in words: from the word list above, add-one.
-_PAIRS = np.ones((26, 26))
-for _w in WORDS:
-    for _a, _b in zip(_w, _w[1:], strict=False):
-        _PAIRS[ord(_a) - 97, ord(_b) - 97] += 1
-_PAIRS = np.log(_PAIRS / _PAIRS.sum(axis=1, keepdims=True))
 FEATURES = (
     "length", "upper", "lower", "digit", "other", "transitions", "pair_log", "entropy", "distinct", "hex", "covered", "dots", "dashes", "longest_digits",
     "kind", "quoted", "assigned", "name_near", "harmless_near", "name_just_before", "harmless_just_before", "path_words", "example_inside",
 )
 
 
-def features(value: str, before: str, after: str, path: str | None, kind: str) -> list[float]:
+#: Class of a character: upper, lower, digit, other; and whether it is a hexadecimal digit.
+_CLASS, _HEX = np.full(129, 3), np.zeros(129, bool)
+_CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = 0, 1, 2
+_HEX[[*range(48, 58), *range(65, 71), *range(97, 103)]] = True
+
+
+def features(value: str, before: str, after: str, path: str | None, kind: str, words: Words) -> list[float]:
     n = len(value)
-    classes = [0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in value]
-    share = [classes.count(k) / n for k in range(4)]
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(1, n - 1)
-    low = value.lower()
-    pairs = [_PAIRS[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
-    counts = np.array([value.count(c) for c in set(value)]) / n
+    codes = np.minimum(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4"), 128)
+    classes = _CLASS[codes]
+    share = (np.bincount(classes, minlength=4) / n).tolist()
+    letter = np.where(classes < 2, (codes | 32).astype(int) - 97, -1)
+    both = (letter[1:] >= 0) & (letter[:-1] >= 0)
+    pairs = words.pairs[letter[:-1][both], letter[1:][both]]
+    counts = np.unique(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)[1] / n
     left, right = [w.lower() for w in re.findall(r"[A-Za-z_0-9]+", before)][-4:], [w.lower() for w in re.findall(r"[A-Za-z_0-9]+", after)][:3]
     named, fine = lambda w: any(x in w for x in NAMES), lambda w: w in HARMLESS
     low_path = (path or "").lower()
     return [
-        n, *share, changes, float(np.mean(pairs)) if pairs else 0.0, float(-(counts * np.log2(counts)).sum()), len(counts) / n, sum(c in "0123456789abcdef" for c in low) / n,
-        _covered(value), value.count("."), value.count("-"), max((len(x) for x in re.findall(r"\d+", value)), default=0),
+        n, *share, float((classes[1:] != classes[:-1]).mean()) if n > 1 else 0.0, float(pairs.mean()) if len(pairs) else 0.0, float(-(counts * np.log2(counts)).sum()), len(counts) / n, float(_HEX[codes].mean()),
+        words.covered(value), value.count("."), value.count("-"), max((len(x) for x in re.findall(r"\d+", value)), default=0),
         KINDS.index(kind), float(before[-1:] in ("'", '"', "`")), float(before.rstrip(" \"'`")[-1:] in (":", "=")), sum(map(named, left)) + sum(map(named, right)), sum(map(fine, left)) + sum(map(fine, right)),
-        float(bool(left) and named(left[-1])), float(bool(left) and fine(left[-1])), sum(w in low_path for w in PATH_WORDS), float(bool(re.search("example|sample|dummy|xxxx|1234567|placeholder", low))),
+        float(bool(left) and named(left[-1])), float(bool(left) and fine(left[-1])), sum(w in low_path for w in PATH_WORDS), float(bool(re.search("example|sample|dummy|xxxx|1234567|placeholder", value.lower()))),
     ]
 
 
-def labelled_findings(seed: int = 11, n: int = 6000) -> list[tuple[str, str, str, str, str, int]]:
-    """(value, before, after, path, kind, label) made by rule: credentials of several forms, and harmless runs, in varied surroundings."""
+def labelled_findings(seed: int = 11, n: int = 6000, words: Words | None = None) -> list[tuple[str, str, str, str, str, int]]:
+    """(value, before, after, path, kind, label) made by rule: credentials of several forms, and harmless runs, in surroundings of the dictionary's words and others."""
     rnd = random.Random(seed)
+    known = sorted((words or Words()).words)
     pick = rnd.choice
     draw = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
     syllables = [draw("bcdfghklmnprstvwz", 1) + draw("aeiou", 1) + draw("nrstl", rnd.randint(0, 1)) for _ in range(60)]
-    word = lambda: pick(WORDS) if rnd.random() < 0.4 else "".join(pick(syllables) for _ in range(rnd.randint(1, 4)))
+    word = lambda: pick(known) if rnd.random() < 0.4 else "".join(pick(syllables) for _ in range(rnd.randint(1, 4)))
     prose = lambda k: " ".join(word() for _ in range(k))
     compound = lambda: pick([str.upper, str])(pick(["db", "github", "aws", "app", "my", "prod", word()]) + pick("_-._") + pick(NAMES) + pick(["", "", "_key", "_value", "_2"]))
     hexes, mixed, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
@@ -270,10 +355,19 @@ class Forest:
         return out / len(self.trees)
 
 
-def train(findings) -> Forest:
-    """A forest from labelled findings, rows of (value, before, after, path, kind, label); at most SAMPLE, the smallest by a hash, are used."""
+def train(findings, words: Words | None = None) -> Forest:
+    """A forest from labelled findings, rows of (value, before, after, path, kind, label), and a dictionary; at most SAMPLE, the smallest by a hash, are used."""
+    words = words or Words()
     rows = sorted((tuple(r) for r in findings), key=lambda r: hashlib.sha1(repr(r).encode()).digest())[:SAMPLE]
-    return Forest(np.array([features(*r[:5]) for r in rows]), np.array([r[5] for r in rows], float))
+    forest = Forest(np.array([features(*r[:5], words) for r in rows]), np.array([r[5] for r in rows], float))
+    forest.words = words
+    return forest
+
+
+def model(docs: DataFrame, text: str = "text") -> Forest:
+    """The forest for a corpus: its dictionary, and findings labelled by rule in its words."""
+    words = dictionary(docs, text)
+    return train(labelled_findings(words=words), words)
 
 
 def findings(texts: list[str | None], paths: list[str | None], forest: Forest, threshold: float = THRESHOLD):
@@ -282,7 +376,7 @@ def findings(texts: list[str | None], paths: list[str | None], forest: Forest, t
     for k, (t, path) in enumerate(zip(texts, paths, strict=True)):
         for a, b, kind in candidates(t or ""):
             found.append((k, a, b, kind))
-            x.append(features(t[a:b], t[max(0, a - 80) : a], t[b : b + 60], path, kind))
+            x.append(features(t[a:b], t[max(0, a - 80) : a], t[b : b + 60], path, kind, forest.words))
     score = forest(np.array(x)) if x else []
     return [(*f, float(s)) for f, s in zip(found, score, strict=True)]
 
@@ -325,4 +419,5 @@ def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str = "sou
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), train(labelled_findings()))
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, model(docs))
