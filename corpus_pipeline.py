@@ -45,7 +45,7 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked; all documents stay."""
-    return _counted(secrets.redact(docs, secrets.train(secrets.labelled_findings())))
+    return _counted(secrets.redact(docs, secrets.model(docs)))
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
