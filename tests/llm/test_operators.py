@@ -324,6 +324,32 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(df, none).collect()} == {0.0} and toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_ftrl_is_the_published_update():
+    """Coordinate by coordinate, as McMahan et al. (2013) write it; repeated labels are learnt from each."""
+    rnd = random.Random(3)
+    model, z, n = toxicity.Ftrl(0.7, 1.0, 0.4, 0.3), defaultdict(float), defaultdict(float)
+    bias = 1 << toxicity.BITS
+    weight = lambda i: 0.0 if i != bias and abs(z[i]) <= 0.4 else -(z[i] - (0.4 if i != bias else 0.0) * np.sign(z[i])) / ((1.0 + math.sqrt(n[i])) / 0.7 + 0.3)
+    for _ in range(200):
+        at, label = sorted(rnd.sample(range(12), 4)), rnd.randrange(2)
+        model.learn(np.array([*at, bias]), label)
+        w = {i: weight(i) for i in [*at, bias]}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i, v in w.items():
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7 * v
+            n[i] += g * g
+    assert np.allclose(model.weights(np.array([*range(12), bias])), [weight(i) for i in [*range(12), bias]])
+
+
+def test_toxicity_sample_is_bounded(spark):
+    assert toxicity._bounded([(1, 5), (2, 9), (3, 4), (4, 1)], 10) == [1, 3, 4]
+    df = docs(spark, [(i, "bad word " * 5 if i % 2 else "good word " * 5, "s") for i in range(60)] + ODD)
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    assert toxicity.train(df, lab, sample_bytes=0)[0].size == 0 and toxicity.train(df, lab, sample_bytes=600)[0].size > 0
+    ties = toxicity.score(docs(spark, [(1, "", "s"), (2, "", "s")]), (np.array([1 << toxicity.BITS]), np.array([math.log(0.3 / 0.7)]))).collect()
+    assert {(r.predicted, round(r.score, 9)) for r in ties} == {(int(ties[0].score >= 0.3), 0.3)}
+
+
 # --- 6 ---
 
 
