@@ -296,6 +296,64 @@ def test_fingerprints(spark, monkeypatch):
     assert one.near_next == 1.0 and fingerprints.fingerprints(docs(spark, [])).count() == 0
 
 
+def brute_prints(text, band):
+    """The fingerprint as the module's text says it, term by term."""
+    from rasterloom.llm.common import IS_PUNCT, mix64, token_hashes, tokens
+
+    U = np.uint64
+    raw, offsets = text_bytes(pa.array([text]))
+    starts, ends, _ = tokens(raw, offsets, IS_PUNCT)
+    terms = sorted(set(token_hashes(raw, starts, ends).tolist()))
+    terms = [t for t in terms if t in band] or terms
+    if not terms:
+        return None
+
+    def of(some):
+        total = 0
+        for k, t in enumerate(some):
+            total += int(mix64(np.array([t], U) ^ mix64(np.array([k + 0x632BE59BD9B4E019], U)))[0])
+        return int(mix64(np.array([total & (2**64 - 1)], U))[0]) if some else 0
+
+    drawn = lambda t, k: int(mix64(np.array([(t + (k * 97 + 13) * 0xD1B54A32D192ED03) & (2**64 - 1)], U))[0])
+    wide = [of([t for t in terms if not k or drawn(t, k) >= (1 << 64) // 3]) for k in range(fingerprints.WIDE)]
+    level = len(terms).bit_length() - 1
+    thin = []
+    for bits in (level, level + 1):
+        for part in range(fingerprints.SUBSETS):
+            r, within = part >> bits, part & ((1 << bits) - 1)
+            mine = lambda t: int(mix64(np.array([(t + (r * 41 + 1) * 0x9E3779B97F4A7C15 + bits) & (2**64 - 1)], U))[0])  # noqa: B023, E731
+            x = of([t for t in terms if (mine(t) >> (64 - bits) if bits else 0) == within])
+            thin.append(max(1, x >> 48) if x else 0)
+    return f"{level:02x}" + "".join(f"{w:016x}" for w in wide) + "".join(f"{t:04x}" for t in thin)
+
+
+def test_fingerprints_term_by_term(spark):
+    rnd = random.Random(16)
+    rows = [(i, " ".join(words(rnd, rnd.randrange(1, 90), 300)), "s") for i in range(40)] + ODD + [(950, "x " * 100 + "y" * 300_000, "s")]
+    df = docs(spark, rows)
+    band = fingerprints.lexicon(df)
+    count = Counter(w for _, t, _ in rows for w in set(ctw_words(t)))
+    assert len(band) == sum(2 <= n <= max(2, 0.15 * len(rows)) for n in count.values())
+    got = {(r.doc_id, r.n_chars): r for r in fingerprints.fingerprints(df).collect()}
+    for i, t, _ in rows:
+        if (t or "").strip():
+            assert got[i, len(t)].fingerprint == brute_prints(t, set(band.tolist()))
+    a, b, c = got[0, len(rows[0][1])].fingerprint, got[1, len(rows[1][1])].fingerprint, ""
+    x, y = (np.array([int(f[2 + 16 * fingerprints.WIDE :][4 * k : 4 * k + 4], 16) for k in range(128)]).reshape(2, 64) for f in (a, b))
+    la, lb = int(a[:2], 16), int(b[:2], 16)
+    expected = 0.0
+    if abs(la - lb) <= 1:
+        x, y = x[max(0, lb - la)], y[max(0, la - lb)]
+        expected = ((x == y) & (x > 0)).sum() / ((x > 0) | (y > 0)).sum()
+    assert fingerprints.likeness_of(a, b) == pytest.approx(expected) and fingerprints.likeness_of(a, a) == 1 and fingerprints.likeness_of(a, c) == 0 and fingerprints.likeness_of(c, c) == 1
+
+
+def ctw_words(text):
+    import re
+
+    return re.findall("[a-z0-9\\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 # --- 5 ---
 
 
