@@ -440,6 +440,65 @@ def test_nearest(spark):
     assert nn_descent.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_nearest(x, top=20):
+    out = {}
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        out[q] = [i for i in np.lexsort((np.arange(len(x)), -s)).tolist() if i != q][:top]
+    return out
+
+
+def test_search_scores_few_nodes():
+    """Without Spark, on one shard of the size that the query uses: lengths that differ need few nodes, no structure needs many."""
+    rng = np.random.default_rng(5)
+    for kind, n, most in (("unequal", 8192, 0.1), ("unit", 2048, 1.0)):
+        x = rng.normal(size=(n, 64)).astype(np.float32)
+        x = x * np.exp(rng.normal(size=(n, 1)) * 0.5).astype(np.float32) if kind == "unequal" else x / np.linalg.norm(x, axis=1, keepdims=True)
+        ids = (np.arange(n)[:, None] + rng.integers(1, n, (n, nn_descent.K))) % n
+        score = rng.random(ids.shape)
+        for _ in range(nn_descent.ITERATIONS + 1):
+            lists = [[] for _ in range(n)]
+            for u, v, w in sorted(zip(np.repeat(np.arange(n), ids.shape[1]).tolist(), ids.ravel().tolist(), (-score).ravel().tolist(), strict=True), key=lambda r: r[2]):
+                lists[v].append(u)
+            limit = nn_descent.SEARCHED if _ == nn_descent.ITERATIONS else nn_descent.REVERSE
+            near = np.full((n + 1, nn_descent.K + limit), -1, np.int64)
+            near[:n, : nn_descent.K] = ids
+            for u, back in enumerate(lists):
+                near[u, nn_descent.K : nn_descent.K + min(limit, len(back))] = back[:limit]
+            if _ < nn_descent.ITERATIONS:
+                ids, score = nn_descent.best_of_neighbours(x, near, nn_descent.K)
+        width, recall, scored = nn_descent.width_for(x, near, 21)
+        print(kind, n, width, recall, scored)
+        assert recall >= 0.95 and scored <= most
+
+
+@pytest.mark.parametrize(("kind", "n"), [("unequal", 1200), ("clusters", 1200)])
+def test_nearest_over_shards(spark, monkeypatch, kind, n):
+    """Several shards: recall against brute force, with lengths that differ, with clusters, and without any structure."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(nn_descent, "SHARD", 300)
+    monkeypatch.setattr(nn_descent, "ITERATIONS", 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, 32))
+    if kind == "unequal":
+        x *= np.exp(rng.normal(size=(n, 1)) * 0.6)
+    if kind == "clusters":
+        x = rng.normal(size=(12, 32))[rng.integers(0, 12, n)] * 3 + x * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report, lists = {}, defaultdict(list)
+    for r in nn_descent.nearest(df, F.col("vec_id") % 20 == 0, report=report).orderBy("query_id", "rank").collect():
+        lists[r.query_id].append(r.vec_id)
+    true = brute_nearest(x)
+    recall = np.mean([len(set(lists[q]) & set(t)) / 20 for q, t in true.items()])
+    print(kind, report, "recall", recall)
+    assert recall >= 0.92 and report["shards"] >= 3
+    exact = defaultdict(list)
+    for r in nn_descent.nearest(df, F.col("vec_id") % 20 == 0, exact=True).orderBy("query_id", "rank").collect():
+        exact[r.query_id].append(r.vec_id)
+    assert dict(exact) == true
+
+
 # --- 7 ---
 
 
