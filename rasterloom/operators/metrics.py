@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,16 +52,73 @@ def box_dimension(counts: DataFrame) -> DataFrame:
     return counts.agg(F.regr_slope(y, x).alias("dimension"), F.regr_r2(y, x).alias("r2"))
 
 
-def ranked(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at index trunc(share * n) of the sorted ones, at most the last: one row.
+def ranked(df: DataFrame, value: str, shares: dict[str, float], parts: int = 64) -> DataFrame:
+    """Values at index trunc(share * n) of the sorted ones, at most the last: one row, nulls without any.
 
-    Counts per value are ranked instead of rows, so a common value is one row of the window.
+    Counts per value are ranked instead of rows. They are dealt to ranges of values; the ranges' totals,
+    `parts` numbers, tell in which range each wanted rank lies, and only there ranks are counted.
     """
     held = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    total = held.agg(F.sum("c").alias("n"))
-    upto = held.withColumn("to", F.sum("c").over(Window.orderBy("v")))
-    at = {k: F.least(F.col("n") - 1, F.floor(F.lit(float(s)) * F.col("n"))) for k, s in shares.items()}
-    return upto.crossJoin(F.broadcast(total)).agg(*[F.min(F.when(F.col("to") > i, F.col("v"))).alias(k) for k, i in at.items()])
+    kind = dict(held.dtypes)["v"]
+    cuts = held.stat.approxQuantile("v", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    bounds = sorted(set(cuts))
+    part = sum(((F.col("v").cast("double") >= c).cast("int") for c in bounds), F.lit(0))
+    dealt = held.withColumn("part", part)
+    totals = {r["part"]: r["c"] for r in dealt.groupBy("part").agg(F.sum("c").alias("c")).collect()}  # at most `parts` rows
+    n, upto, before = sum(totals.values()), {}, 0
+    for k in sorted(totals):
+        upto[k] = before
+        before += totals[k]
+    spark = df.sparkSession
+    if not n:
+        return spark.range(1).select(*[F.lit(None).cast(kind).alias(k) for k in shares])
+    wanted = {k: min(n - 1, int(math.floor(s * n))) for k, s in shares.items()}
+    home = {k: max(p for p in upto if upto[p] <= i) for k, i in wanted.items()}
+    inside = dealt.where(F.col("part").isin(sorted(set(home.values()))))
+    to = F.sum("c").over(Window.partitionBy("part").orderBy("v")) + F.element_at(F.create_map(*[F.lit(x) for p in upto for x in (p, upto[p])]), F.col("part"))
+    inside = inside.withColumn("to", to)
+    return inside.agg(*[F.min(F.when((F.col("part") == home[k]) & (F.col("to") > i), F.col("v"))).alias(k) for k, i in wanted.items()])
+
+
+def min_channel(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(steps): the fewest steps along x and z between a cell of mask a and one of mask b; null if either is empty."""
+    from .raster import manhattan
+
+    gap = manhattan(df.select("x", "z", F.col(a).alias("land")))
+    return df.join(gap, ["x", "z"]).where(F.col(b)).agg(F.min("d1").alias("steps"))
+
+
+def band_slope(df: DataFrame, lo: float, hi: float, spacing: float = 1.0) -> DataFrame:
+    """(degrees, cells): the mean slope, by central differences, of inner cells with lo <= v < hi."""
+    from .windows import gradient
+
+    g = gradient(df, spacing).where((F.col("v") >= lo) & (F.col("v") < hi))
+    steep = F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz"))))
+    return g.agg(F.avg(steep).alias("degrees"), F.count(F.lit(1)).alias("cells"))
+
+
+def accepted(measures: DataFrame, ranges: list[tuple[str, float | None, float | None, bool]]) -> DataFrame:
+    """(metric, value, least, most, ok) of measures (metric, value) for which there is a range; a range that only informs (last: True) is always ok."""
+    wanted = measures.sparkSession.createDataFrame(ranges, "metric string, least double, most double, target boolean")
+    inside = (F.col("value") >= F.coalesce("least", F.col("value"))) & (F.col("value") <= F.coalesce("most", F.col("value")))
+    return measures.join(F.broadcast(wanted), "metric").select("metric", "value", "least", "most", (F.col("target") | F.coalesce(inside, F.lit(False))).alias("ok"))
+
+
+def pits(h, cell: float, channel_area: float) -> dict[str, float]:
+    """Of one raster as an array: how many inner cells lie under their spill level, their share, the deepest, and metres of channel a square metre."""
+    import numpy as np
+
+    from .raster import flow, gathered, priority_flood
+
+    filled, _ = priority_flood(h, 1e-6)
+    deep = (filled - h)[1:-1, 1:-1]
+    under = deep > 1e-4
+    to = flow(filled, np.array([], int), cell)[0].ravel()
+    area = gathered(to, cell * cell)
+    along = np.abs(np.arange(h.size) - to)
+    length = np.where((along == 1) | (along == h.shape[1]), cell, cell * math.sqrt(2.0))
+    channel = (to >= 0) & (area >= channel_area)
+    return {"pits": float(under.sum()), "share": float(under.mean()), "deepest": float(deep.max(initial=0.0)), "density": float(length[channel].sum() / (h.size * cell * cell))}
 
 
 def local_relief(df: DataFrame, block: int, level: float) -> DataFrame:

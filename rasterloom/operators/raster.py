@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +54,60 @@ def bodies(labels: DataFrame, width: int, depth: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("land").orderBy(F.desc("cells"), "label")).cast("long"))
 
 
+def envelope(g2: np.ndarray) -> np.ndarray:
+    """min over k of (i - k)**2 + g2[k] for every i, where g2 holds inf for no offer: the lower envelope of parabolas, in one pass."""
+    at = np.flatnonzero(np.isfinite(g2))
+    if not len(at):
+        return np.full(len(g2), np.inf)
+    kept, since = [int(at[0])], [-np.inf]
+    for k in at[1:].tolist():
+        while True:
+            j = kept[-1]
+            cross = (g2[k] - g2[j] + k * k - j * j) / (2.0 * (k - j))
+            if cross > since[-1]:
+                break
+            kept.pop()
+            since.pop()
+        kept.append(k)
+        since.append(cross)
+    i = np.arange(len(g2))
+    k = np.array(kept)[np.searchsorted(np.array(since), i, side="right") - 1]
+    # at a crossing two parabolas are equal, so either is right
+    return (i - k) ** 2 + g2[k]
+
+
 def distance(df: DataFrame) -> DataFrame:
     """(x, z, d2): squared distance to the nearest source (`land`), exact; null without any source.
 
-    Down each column the nearest source above and below; along each row every column's offer. A row's
-    columns meet in one join on z, so the work is depth x width x width, not cells squared.
+    Down each column the nearest source above and below, as windows; along each row the lower envelope
+    of the columns' offers, a row a group: the work is one pass over the cells.
     """
     column = Window.partitionBy("x").orderBy("z")
     here = F.when(F.col("land"), F.col("z"))
     up = F.last(here, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(here, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
-    gap = df.select("x", "z", F.least(F.col("z") - up, down - F.col("z")).alias("g"))
-    offer = gap.where("g is not null").select(F.col("x").alias("ox"), "z", "g")
-    best = gap.select("x", "z").join(offer, "z", "left")
-    dx = F.col("x") - F.col("ox")
-    return best.groupBy("x", "z").agg(F.min(dx * dx + F.col("g") * F.col("g")).alias("d2"))
+    gap = df.select("x", "z", F.least(F.col("z") - up, down - F.col("z")).cast("double").alias("g"))
+
+    def row(t: pa.Table) -> pa.Table:
+        x, g = t["x"].to_numpy(), t["g"].to_numpy(zero_copy_only=False)
+        offer = np.full(int(x.max() - x.min()) + 1, np.inf)
+        offer[x - x.min()] = np.where(np.isnan(g), np.inf, g * g)
+        d2 = envelope(offer)[x - x.min()]
+        return pa.table([t["x"], t["z"], pa.array(np.where(np.isfinite(d2), d2, 0).astype(np.int64), mask=~np.isfinite(d2))], names=["x", "z", "d2"])
+
+    return gap.groupBy("z").applyInArrow(row, "x long, z long, d2 long")
+
+
+def manhattan(df: DataFrame, mask: str = "land") -> DataFrame:
+    """(x, z, d1): steps along x and z to the nearest cell of the mask, by running minima in windows; null without any."""
+    big = 1 << 40
+    out = df.select("x", "z", F.when(F.col(mask), F.lit(0)).otherwise(F.lit(big)).cast("long").alias("d1"))
+    for across, along in (("z", "x"), ("x", "z")):
+        line = Window.partitionBy(across).orderBy(along)
+        before = F.min(F.col("d1") - F.col(along)).over(line.rowsBetween(Window.unboundedPreceding, 0)) + F.col(along)
+        after = F.min(F.col("d1") + F.col(along)).over(line.rowsBetween(0, Window.unboundedFollowing)) - F.col(along)
+        out = out.select("x", "z", F.least(before, after).alias("d1"))
+    return out.select("x", "z", F.when(F.col("d1") < big // 2, F.col("d1")).alias("d1"))
 
 
 def receivers(df: DataFrame) -> DataFrame:
@@ -143,94 +183,134 @@ def flow(filled: np.ndarray, order: np.ndarray, cell: float) -> tuple[np.ndarray
     return receiver, np.array(area).reshape(filled.shape)
 
 
+def _toward(offset: tuple[int, int], shape: tuple[int, int]) -> tuple[tuple[slice, slice], tuple[slice, slice]]:
+    """The part of an array whose neighbour at the offset (dx, dz) exists, and those neighbours."""
+    (dx, dz), (depth, width) = offset, shape
+    own = slice(max(0, -dz), depth - max(0, dz)), slice(max(0, -dx), width - max(0, dx))
+    return own, (slice(max(0, dz), depth - max(0, -dz)), slice(max(0, dx), width - max(0, -dx)))
+
+
+def tiers(receiver: np.ndarray) -> list[np.ndarray]:
+    """The cells of a forest (receiver: flat, -1 at roots) by how many steps they are from their root, roots first."""
+    n = len(receiver)
+    steps, jump = (receiver >= 0).astype(np.int64), np.where(receiver >= 0, receiver, np.arange(n))
+    while True:  # each round doubles the steps that are known
+        more = steps + steps[jump]
+        if (more == steps).all():
+            break
+        steps, jump = more, jump[jump]
+    order = np.argsort(steps, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(steps))[:-1])
+
+
+def gathered(receiver: np.ndarray, own: np.ndarray | float) -> np.ndarray:
+    """What drains through each cell of a forest, its own share included."""
+    total = np.broadcast_to(np.asarray(own, float), receiver.shape).copy()
+    for cells in reversed(tiers(receiver)[1:]):
+        np.add.at(total, receiver[cells], total[cells])
+    return total
+
+
+def capped(h: np.ndarray, slope: float, cell: float, held: np.ndarray) -> np.ndarray:
+    """The highest surface not over h whose steps to neighbours rise by the slope at most; `held` cells stay."""
+    h = h.copy()
+    for _ in range(h.size):
+        before = h.copy()
+        for dx, dz in AROUND:
+            here, there = _toward((dx, dz), h.shape)
+            h[here] = np.minimum(h[here], h[there] + slope * cell * math.hypot(dx, dz))
+        h[held] = before[held]
+        if (h == before).all():
+            break
+    return h
+
+
+#: Fixed value: drainage is found anew in each of this many first steps, then every `refresh` steps.
+SETTLING = 20
+
+
 def stream_power(h: np.ndarray, uplift: np.ndarray, cell=50.0, iterations=100, k=1e-4, m=0.5, talus=0.0, diffusion=0.0, refresh=1) -> np.ndarray:
-    """Uplift against incision by drained area, solved outlets first, with creep and a steepest slope."""
+    """Uplift against incision k * area**m * slope, with creep and a steepest slope, for a fixed rim.
+
+    A step is implicit: the new height of a cell is a mean of its own and its receiver's new height,
+    weighted by the rate over the distance, so all cells of one tier above the outlets are solved at once.
+    """
     h = h.astype(float).copy()
     depth, width = h.shape
-    inner = (slice(1, -1), slice(1, -1))
-    near = [(dz * width + dx, talus * (cell * math.sqrt(2.0) if dx and dz else cell)) for dx, dz in AROUND]
-    border = np.ones(h.shape, bool)
-    border[inner] = False
+    rim = np.ones(h.shape, bool)
+    rim[1:-1, 1:-1] = False
+    z, x = np.divmod(np.arange(h.size), width)
     for step in range(iterations):
-        h[inner] += uplift[inner]
-        if step < 20 or step % refresh == 0:
-            filled, order = priority_flood(h, 1e-6)
-            receiver, area = flow(filled, order, cell)
-            h = np.maximum(h, filled)
-            r, steps = receiver.ravel(), order.tolist()
-            apart = np.where(r >= 0, np.hypot(np.abs(np.arange(h.size) % width - r % width), np.abs(np.arange(h.size) // width - r // width)), 1.0) * cell
-            rate, to = (k * np.power(area.ravel(), m) / apart).tolist(), r.tolist()
-        v = h.ravel().tolist()
-        for i in steps:
-            j = to[i]
-            if j >= 0 and v[i] > v[j]:
-                v[i] = (v[i] + rate[i] * v[j]) / (1.0 + rate[i])
-        h = np.array(v).reshape(h.shape)
+        h += np.where(rim, 0.0, uplift)
+        if step < SETTLING or step % refresh == 0:
+            filled, _ = priority_flood(h, 1e-6)
+            to = flow(filled, np.array([], int), cell)[0].ravel()
+            h = filled
+            share = k * gathered(to, cell * cell) ** m / (cell * np.where(to >= 0, np.hypot(x - x[to], z - z[to]), 1.0))
+            above = tiers(to)[1:]
+        flat = h.ravel()
+        for cells in above:
+            base = flat[to[cells]]
+            flat[cells] = np.where(flat[cells] > base, (flat[cells] + share[cells] * base) / (1.0 + share[cells]), flat[cells])
         if diffusion > 0:
-            curve = h[1:-1, :-2] + h[1:-1, 2:] + h[:-2, 1:-1] + h[2:, 1:-1] - 4 * h[inner]
-            h[inner] += min(diffusion / cell**2, 0.2) * curve
+            around = sum(np.roll(h, o, axis) for axis in (0, 1) for o in (-1, 1))
+            h = np.where(rim, h, h + min(diffusion / cell**2, 0.2) * (around - 4 * h))
         if talus > 0:
-            v, rim = h.ravel().tolist(), border.ravel().tolist()
-            for i in steps:
-                if not rim[i]:
-                    v[i] = min(v[i], *(v[i + o] + lim for o, lim in near))
-            h = np.array(v).reshape(h.shape)
+            h = capped(h, talus, cell, rim)
     return h
 
 
+def lee(sand: np.ndarray, drop: float) -> np.ndarray:
+    """Whether a cell of a raster that repeats lies in the wind shadow of a higher one before it along +x; light falls `drop` a cell."""
+    roof, reach = np.roll(sand, 1, 1) - drop, 1
+    while reach < sand.shape[1]:
+        roof = np.maximum(roof, np.roll(roof, reach, 1) - drop * reach)
+        reach *= 2
+    return roof > sand
+
+
+def slumped(sand: np.ndarray, steepest: float, rounds: int = 64) -> np.ndarray:
+    """Slabs slide to lower neighbours where a step is steeper than the angle of repose, all pairs along a direction at once; the sum stays."""
+    sand = sand.copy()
+    for _ in range(rounds):
+        before = sand
+        for dx, dz in AROUND:  # both ways of each pair, one after the other, so that a cell gives one slab at a time
+            over = (sand - np.roll(sand, (-dz, -dx), (0, 1)) > steepest * math.hypot(dx, dz)).astype(sand.dtype)
+            sand = sand - over + np.roll(over, (dz, dx), (0, 1))
+        if (sand == before).all():
+            break
+    return sand
+
+
 def wind(h: np.ndarray, cell=20.0, slab=3.0, iterations=10, hop=5, p_sand=0.6, p_bare=0.4, shadow=15.0, repose=33.0, creep=0.2, smooth=2, seed=0) -> np.ndarray:
-    """Slabs of sand that the wind picks up, carries along +x and drops, on a raster that repeats."""
+    """Slabs of sand that the wind picks up, carries along +x and drops, on a raster that repeats (Werner's slab model).
+
+    In each of `iterations` rounds every cell is picked once on average, in batches of an eighth of the
+    cells drawn by chance. A batch moves together: slabs leave cells outside wind shadows, then hop until
+    they fall into a shadow or stick (p_sand on sand, p_bare on bare ground), or creep one cell; steep
+    places slump after each batch.
+    """
+    rng = np.random.default_rng(seed)
     depth, width = h.shape
-    sand = np.maximum(0, np.floor(h / slab + 0.5)).astype(int).tolist()
-    shade, rest = math.tan(math.radians(shadow)) * cell / slab, math.tan(math.radians(repose)) * cell / slab
-    state = (0x9E3779B97F4A7C15 ^ (seed * 0xBF58476D1CE4E5B9)) & (1 << 64) - 1
-    highest = max(map(max, sand))
-
-    def draw():
-        nonlocal state
-        state ^= state << 13 & (1 << 64) - 1
-        state ^= state >> 7
-        state ^= state << 17 & (1 << 64) - 1
-        return state
-
-    def unit():
-        return (draw() >> 11) / 9007199254740992.0
-
-    def shaded(x, z):
-        row, here = sand[z], sand[z][x]
-        reach = min(width - 1, int((highest - here) / max(shade, 1e-6)) + 1)
-        return any(row[(x - d) % width] - here > shade * d for d in range(1, reach + 1))
-
-    def relax(x, z):
-        stack, left = [(x, z)], 4096
-        while stack and left:
-            left -= 1
-            x, z = stack.pop()
-            for dx, dz in AROUND:
-                p, q = (x + dx) % width, (z + dz) % depth
-                limit = rest * (1.41421356 if dx and dz else 1.0)
-                gap = sand[z][x] - sand[q][p]
-                if abs(gap) > limit:
-                    way = 1 if gap > 0 else -1
-                    sand[z][x] -= way
-                    sand[q][p] += way
-                    stack += [(x, z), (p, q)]
-
-    for _ in range(iterations * width * depth):
-        x, z = draw() % width, draw() % depth
-        if sand[z][x] <= 0 or shaded(x, z):
-            continue
-        sand[z][x] -= 1
-        relax(x, z)
-        creeps = unit() < creep
-        for _ in range(256):
-            x = (x + (1 if creeps else hop)) % width
-            if creeps or shaded(x, z) or unit() < (p_sand if sand[z][x] > 0 else p_bare):
-                sand[z][x] += 1
-                highest = max(highest, sand[z][x])
-                relax(x, z)
-                break
-    out = np.array(sand) * float(slab)
+    sand = np.maximum(0, np.rint(h / slab)).astype(np.int64)
+    drop, rest = math.tan(math.radians(shadow)) * cell / slab, math.tan(math.radians(repose)) * cell / slab
+    for _ in range(8 * iterations):
+        z, x = np.nonzero((rng.random(sand.shape) < 0.125) & (sand > 0) & ~lee(sand, drop))
+        np.subtract.at(sand, (z, x), 1)
+        sand = slumped(sand, rest)
+        crept = rng.random(len(x)) < creep
+        shaded = lee(sand, drop)
+        x = (x + np.where(crept, 1, hop)) % width
+        falling = crept.copy()
+        for _ in range(width):
+            stick = rng.random(len(x)) < np.where(sand[z, x] > 0, p_sand, p_bare)
+            falling |= shaded[z, x] | stick
+            np.add.at(sand, (z[falling], x[falling]), 1)
+            z, x = z[~falling], (x[~falling] + hop) % width
+            falling = np.zeros(len(x), bool)
+        np.add.at(sand, (z, x), 1)  # what has gone round falls where it is
+        sand = slumped(sand, rest)
+    out = sand * float(slab)
     for _ in range(smooth):
         for axis in (0, 1):
             out = (np.roll(out, 1, axis) + 2 * out + np.roll(out, -1, axis)) / 4
@@ -238,33 +318,34 @@ def wind(h: np.ndarray, cell=20.0, slab=3.0, iterations=10, hop=5, p_sand=0.6, p
 
 
 def coast_drain(land: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each land cell's downstream cell + 1 (0: at the coast, -1: none) and how many cells drain through it; the raster's rim is left out."""
-    depth, width = land.shape
+    """Each land cell's downstream neighbour, itself at the coast and -1 where it has no way out, and how many cells drain through it.
+
+    The flood rises from the coast (land beside water) over land only; the raster's rim is left out. A
+    cell drains to that neighbour which the flood reached first.
+    """
     inner = np.zeros(land.shape, bool)
     inner[1:-1, 1:-1] = True
-    open_ = land & inner
-    wet = ~land
-    coast = open_ & (np.roll(wet, 1, 0) | np.roll(wet, -1, 0) | np.roll(wet, 1, 1) | np.roll(wet, -1, 1))
-    parent, level = np.full(land.size, -1), height.ravel().astype(float).tolist()
-    heap = [(level[i], i) for i in np.flatnonzero(coast.ravel()).tolist()]
-    parent[[i for _, i in heap]] = 0
-    heapq.heapify(heap)
-    free, order = open_.ravel().tolist(), []
-    while heap:
-        at, k = heapq.heappop(heap)
-        order.append(k)
-        for dx, dz in AROUND:
-            q = k + dz * width + dx
-            if free[q] and parent[q] < 0:
-                parent[q] = k + 1
-                level[q] = max(level[q], at)
-                heapq.heappush(heap, (level[q], q))
-    area = np.zeros(land.size)
-    for k in reversed(order):
-        area[k] += 1
-        if parent[k] > 0:
-            area[parent[k] - 1] += area[k]
-    return parent.reshape(land.shape), area.reshape(land.shape)
+    beside = np.zeros(land.shape, bool)
+    for offset in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+        here, there = _toward(offset, land.shape)
+        beside[here] |= ~land[there]
+    dry = land & inner
+    coast = (dry & beside).ravel()
+    level, order = priority_flood(np.where(dry, height, np.inf), 0.0, coast.reshape(land.shape))
+    when, order = np.full(land.size, land.size), order.astype(np.int64)
+    reached = np.isfinite(level.ravel()[order]) if len(order) else np.zeros(0, bool)
+    when[order[reached]] = np.flatnonzero(reached)
+    when = when.reshape(land.shape)
+    first, to, index = when.copy(), np.full(land.shape, -1), np.arange(land.size).reshape(land.shape)
+    for offset in AROUND:
+        here, there = _toward(offset, land.shape)
+        sooner = when[there] < first[here]
+        first[here] = np.where(sooner, when[there], first[here])
+        to[here] = np.where(sooner, index[there], to[here])
+    wet_or_lost = (when == land.size).ravel()
+    root = np.where(wet_or_lost | coast, -1, to.ravel())
+    area = np.where(wet_or_lost, 0.0, gathered(root, np.where(wet_or_lost, 0.0, 1.0)))
+    return np.where(coast, index.ravel(), root).reshape(land.shape), area.reshape(land.shape)
 
 
 def connected(mask: np.ndarray) -> list[np.ndarray]:

@@ -185,8 +185,64 @@ def test_stream_power_carves_and_wind_keeps_sand():
     assert raster.wind(sand, iterations=4, smooth=0).sum() == sand.sum()
     assert raster.wind(sand, iterations=4, smooth=2).sum() == pytest.approx(sand.sum())
     land = rng.random((15, 15)) < 0.7
-    parent, area = raster.coast_drain(land, rng.random((15, 15)))
-    assert area[parent == 0].sum() == (parent >= 0).sum() and (parent[~land] == -1).all()
+    height = rng.random((15, 15))
+    to, area = raster.coast_drain(land, height)
+    own = np.arange(225).reshape(15, 15)
+    assert area[to == own].sum() == (to >= 0).sum() and (to[~land] == -1).all() and not area[to < 0].any()
+    down = np.where(to >= 0, to, own)
+    for _ in range(225):
+        down = down.ravel()[down]
+    assert (to.ravel()[down] == down)[to >= 0].all()  # every way ends at the coast
+    assert (raster.coast_drain(np.ones((5, 5), bool), np.ones((5, 5)))[0] == -1).all()
+
+
+def test_drainage_in_tiers():
+    rng = np.random.default_rng(3)
+    receiver = np.array([-1] + [int(rng.integers(0, k)) for k in range(1, 200)])
+    count = np.ones(200)
+    for k in range(199, 0, -1):
+        count[receiver[k]] += count[k]
+    assert (raster.gathered(receiver, 1.0) == count).all() and sorted(np.concatenate(raster.tiers(receiver)).tolist()) == list(range(200))
+    h = rng.random((12, 14)) * 50
+    cap = raster.capped(h, 0.5, 1.0, np.zeros(h.shape, bool))
+    z, x = np.mgrid[0:12, 0:14]
+    far = lambda i, j: (np.maximum(abs(z - i), abs(x - j)) - np.minimum(abs(z - i), abs(x - j))) + np.minimum(abs(z - i), abs(x - j)) * math.sqrt(2)
+    assert np.allclose(cap, np.min([h[i, j] + 0.5 * far(i, j) for i in range(12) for j in range(14)], axis=0))
+    sand = rng.integers(0, 9, (6, 20))
+    lee = raster.lee(sand, 1.5)
+    for i in range(6):
+        for j in range(20):
+            assert lee[i, j] == any(sand[i, (j - d) % 20] - 1.5 * d > sand[i, j] for d in range(1, 21))
+    heap = np.zeros((16, 16), np.int64)
+    heap[8, 8] = 60
+    flat = raster.slumped(heap, 2.0, 500)
+    assert flat.sum() == 60 and flat.min() >= 0 and np.abs(flat - np.roll(flat, 1, 0)).max() <= 2
+
+
+def test_distances(spark):
+    rng = np.random.default_rng(12)
+    for share in (0.02, 0.3, 0.0):
+        mask = rng.random((13, 17)) < share
+        df = spark.createDataFrame([(x, z, bool(mask[z, x]), bool(z % 5 == 0 and x % 7 == 0)) for z in range(13) for x in range(17)], "x long, z long, land boolean, other boolean")
+        square = {(r.x, r.z): r.d2 for r in raster.distance(df).collect()}
+        steps = {(r.x, r.z): r.d1 for r in raster.manhattan(df).collect()}
+        at = np.argwhere(mask)
+        for z in range(13):
+            for x in range(17):
+                assert square[x, z] == (min((z - a) ** 2 + (x - b) ** 2 for a, b in at) if len(at) else None)
+                assert steps[x, z] == (min(abs(z - a) + abs(x - b) for a, b in at) if len(at) else None)
+        other = [(z, x) for z in range(0, 13, 5) for x in range(0, 17, 7)]
+        assert metrics.min_channel(df, "land", "other").first().steps == (min(abs(z - a) + abs(x - b) for a, b in at for z, x in other) if len(at) else None)
+
+
+def test_measures(spark):
+    h = np.add.outer(np.zeros(20), np.arange(20.0))
+    h[5, 9] -= 4
+    out = metrics.pits(h, 1.0, 6.0)
+    assert out["pits"] == 1 and out["deepest"] == pytest.approx(3, abs=0.01) and out["density"] > 0
+    m = spark.createDataFrame([("a", 1.0), ("b", 9.0), ("c", 9.0), ("d", None)], "metric string, value double")
+    got = {r.metric: r.ok for r in metrics.accepted(m, [("a", 0.0, None, False), ("b", None, 2.0, False), ("c", None, 2.0, True), ("d", 0.0, 1.0, False)]).collect()}
+    assert got == {"a": True, "b": False, "c": True, "d": False}
 
 
 def test_rank_picks(spark):
