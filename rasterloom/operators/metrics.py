@@ -62,7 +62,7 @@ def ranked(df: DataFrame, value: str, shares: dict[str, float], parts: int = 64)
     kind = dict(held.dtypes)["v"]
     cuts = held.stat.approxQuantile("v", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
     bounds = sorted(set(cuts))
-    part = sum(((F.col("v").cast("double") >= c).cast("int") for c in bounds), F.lit(0))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda c: c <= F.col("v"))) if bounds else F.lit(0)
     dealt = held.withColumn("part", part)
     totals = {r["part"]: r["c"] for r in dealt.groupBy("part").agg(F.sum("c").alias("c")).collect()}  # at most `parts` rows
     n, upto, before = sum(totals.values()), {}, 0

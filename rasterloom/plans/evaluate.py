@@ -89,8 +89,8 @@ def _grid(lane, x, z, p):
     return pw.catmull_rom(*rows, gz - j)
 
 
-def evaluate(fields: list[Field], lane, position, spacing: float, seed: int) -> list[tuple]:
-    """The components of each field. position: (x, z) or (x, y, z) in the lane's values."""
+def evaluate(fields: list[Field], lane, position, spacing: float, seed: int, columns: dict | None = None) -> list[tuple]:
+    """The components of each field. position: (x, z) or (x, y, z) in the lane's values; columns: those of a table, as arrays."""
     done: dict[Node, list[tuple]] = {}
     get = lambda f: done[f.node][f.channel]
     for node in order(fields):
@@ -103,9 +103,9 @@ def evaluate(fields: list[Field], lane, position, spacing: float, seed: int) ->
         if kind == "coords":
             out = [tuple(position)]
         elif kind == "column":
-            if lane is Blocks:
+            if lane is Blocks and p["name"] not in (columns or {}):
                 raise PlanError("plan", f"column {p['name']} is of a table; use rows")
-            out = [(lane.let(F.col(p["name"]).cast("double")),)]
+            out = [(columns[p["name"]] if lane is Blocks else lane.let(F.col(p["name"]).cast("double")),)]
         elif kind == "const":
             out = [(position[0] * 0.0 + p["value"],)]
         elif kind == "arith":

@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .field import Combine, Curves, Field, Masks, Noises, Shapes, Terrain, Vec
+from .field import Combine, Curves, Erosion, Field, Filters, Masks, Noises, Shapes, Terrain, Vec
 from .functions import noise
 from .functions.lanes import Rows
 from .operators import metrics, raster as grids, windows
 from .plans.blocks import export
 from .plans.rows import with_fields
+from .plans.tables import over_raster
 from .sources.tables import LIFTED, raster, raster_sql
 
 QUERIES: dict = {}
@@ -69,7 +70,19 @@ pointwise("pw_profile_dome", "prt", lambda v: Curves.Profile(input=v - 950, kind
 pointwise("pw_gaussian", "prt", lambda v: Curves.Profile(input=v - 950, kind="gaussian", sigma=15), "exp(-0.5::DOUBLE * pow(greatest(v - 950.0::DOUBLE, 0.0::DOUBLE) / 15.0::DOUBLE, 2))", 9)
 pointwise("pw_profile_plateau", "prt", lambda v: Curves.Profile(input=v - 950, kind="plateau", edge=5, falloff=20), "1.0::DOUBLE - " + _step(_clamp("(v - 950.0::DOUBLE + 5.0::DOUBLE) / 25.0::DOUBLE")), 9)
 pointwise("pw_ramp", "prt", lambda v: Curves.Ramp(input=v, period=7), "v / 7.0::DOUBLE - floor(v / 7.0::DOUBLE)", 9)
-pointwise("pw_softclamp", "prt", lambda v: Curves.SoftClamp(input=v, min=0, max=2000, k=1), "v", 6)
+_SOFT = "({b} * (1.0::DOUBLE - {h}) + {a} * {h} {sign} 10.0::DOUBLE * {h} * (1.0::DOUBLE - {h}))"
+
+
+def _smooth(a: str, b: str, sign: str) -> str:
+    """Smooth minimum (sign -) or maximum (sign +) of two SQL values, k = 10."""
+    d = f"({b} - {a})" if sign == "-" else f"({a} - {b})"
+    return _SOFT.replace("{h}", _clamp(f"0.5::DOUBLE + 0.5::DOUBLE * {d} / 10.0::DOUBLE")).replace("{a}", a).replace("{b}", b).replace("{sign}", sign)
+
+
+pointwise("pw_softclamp", "prt", lambda v: Curves.SoftClamp(input=v, min=920, max=945, k=10), _smooth(_smooth("v", "920.0::DOUBLE", "+"), "945.0::DOUBLE", "-"), 8)
+pointwise("pw_smoothmax", "prt", lambda v: Combine.SmoothMax(a=v, b=945, k=10), _smooth("v", "945.0::DOUBLE", "+"), 9)
+pointwise("pw_ramp_triangle", "prt", lambda v: Curves.Ramp(input=v, period=7, mode="triangle", offset=2), "1.0::DOUBLE - abs(((v + 2.0::DOUBLE) / 7.0::DOUBLE - floor((v + 2.0::DOUBLE) / 7.0::DOUBLE)) * 2.0::DOUBLE - 1.0::DOUBLE)", 8)
+pointwise("curve_table_linear", "prt", lambda v: Curves.Table(v, ((800.0, 0.0), (2075.0, 2550.0)), False), "(v - 800.0::DOUBLE) * 2.0::DOUBLE", 6)
 pointwise("pw_height_match", "prt", lambda v: Combine.HeightMatch(a=v, b=950, mask=(v - 900) / 100, strength=50),
           _clamp("{m} + {m} * (1.0::DOUBLE - {m}) * 4.0::DOUBLE * (950.0::DOUBLE - v) / 50.0::DOUBLE".replace("{m}", "((v - 900.0::DOUBLE) / 100.0::DOUBLE)")), 9)
 pointwise("sdf_circle", "evt", lambda v: Shapes.Circle(radius=20, at=(50.0, 10.0)), "sqrt(pow(x - 50.0::DOUBLE, 2) + pow(z - 10.0::DOUBLE, 2)) - 20.0::DOUBLE", 9)
@@ -83,6 +96,8 @@ pointwise("csg_union", "evt", lambda v: Shapes.Union(*_two()), f"least({_C1}, {_
 pointwise("csg_intersect", "evt", lambda v: Shapes.Intersect(*_two()), f"greatest({_C1}, {_C2})", 9)
 pointwise("csg_subtract", "evt", lambda v: Shapes.Subtract(*_two()), f"greatest({_C1}, -{_C2})", 9)
 pointwise("mask_feather", "evt", lambda v: Shapes.Mask(_two()[0], feather=4), _clamp(f"0.5::DOUBLE - {_C1} / 4.0::DOUBLE"), 9)
+pointwise("csg_smooth_union", "evt", lambda v: Shapes.Union(*_two(), smooth=10.0), _smooth(_C1, _C2, "-"), 8)
+pointwise("sdf_chebyshev", "evt", lambda v: Shapes.Rect(size=(40.0, 10.0), at=(50.0, 8.0), metric="chebyshev"), "greatest(abs(x - 50.0::DOUBLE) - 20.0::DOUBLE, abs(z - 8.0::DOUBLE) - 5.0::DOUBLE)", 9)
 pointwise("transform_place", "evt", lambda v: Terrain.Transform(at=(30.0, 5.0), rotation=30.0, scale=2.0).x, "((x - 30.0::DOUBLE) * cos(radians(30.0::DOUBLE)) + (z - 5.0::DOUBLE) * sin(radians(30.0::DOUBLE))) / 2.0::DOUBLE", 9)
 pointwise("vec_component", "evt", lambda v: Vec.Combine(v, v * 2).z, "v * 2.0::DOUBLE")
 _POLYGON = ((10.0, 2.0), (60.0, 4.5), (45.0, 40.5), (20.0, 12.5))
@@ -200,43 +215,50 @@ def _noise_query(name: str, octaves: int, kind: str, shape: str):
 
 _noise_query("noise_simplex_1oct", 1, "simplex", "{n}")
 _noise_query("noise_fbm_2oct", 2, "simplex", "{n}")
+QUERIES["noise_fbm_4oct"] = lambda spark, sf_dir: with_fields(raster(spark, sf_dir, "evt").select("x", "z"), {"n": Noises.fBm(frequency=0.05, octaves=4, seed=3)}, F.col("x"), F.col("z"), seed=1234).select("x", "z", F.round("n", 9).alias("n"))
 _noise_query("noise_ridged", 1, "ridged", "(1.0::DOUBLE - abs({n})) * (1.0::DOUBLE - abs({n}))")
 _noise_query("noise_billow", 1, "billow", "(2.0::DOUBLE * abs({n}) - 1.0::DOUBLE)")
 
 
-def _cells_query(name: str, style: str, pick: str):
-    """Nearest sites of a square lattice: candidates are joined, ranked by distance."""
+#: Distances to the nearest sites of a lattice, in SQL.
+_METRIC = {
+    "euclidean": "sqrt(pow({x}, 2) + pow({z}, 2))", "manhattan": "abs({x}) + abs({z})", "chebyshev": "greatest(abs({x}), abs({z}))",
+    "octagonal": "greatest(abs({x}), abs({z})) + least(abs({x}), abs({z})) * 0.41421356::DOUBLE",
+}
+
+
+def _cells_query(name: str, style: str, pick: str, metric: str = "euclidean", jitter: float = 1.0):
+    """The library's cells over the event raster; SQL ranks the 25 sites around."""
 
     def run(spark, sf_dir):
-        p = raster(spark, sf_dir, "evt").select("x", "z", (F.col("x") * 0.07).alias("px"), (F.col("z") * 0.07).alias("pz"))
-        p = p.select("*", F.floor("px").cast("double").alias("ci"), F.floor("pz").cast("double").alias("cj"))
-        near = F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j"), F.lit((j + 2) * 5 + i + 2).alias("k")) for j in range(-2, 3) for i in range(-2, 3)])
-        c = p.withColumn("t", F.explode(near)).select("x", "z", "px", "pz", (F.col("ci") + F.col("t.i")).alias("a"), (F.col("cj") + F.col("t.j")).alias("b"), "t.k")
-        lane = Rows(c)
-        h = noise.lattice(lane, [F.col("a"), F.col("b")], 77)
-        rx, rz = lane.lets(noise.unit(lane, h, F.col("px")), noise.unit(lane, noise.mix(lane, lane.xor(h, noise.PHI)), F.col("px")))
-        dx, dz = lane.lets(F.col("px") - (F.col("a") + rx), F.col("pz") - (F.col("b") + rz))
-        d = lane.let(F.sqrt(dx * dx + dz * dz))
-        r = lane.df.select("x", "z", d.alias("d"), "k", h.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("x", "z").orderBy("d", "k"))).where("r <= 2")
-        out = r.groupBy("x", "z").agg(F.min(F.when(F.col("r") == 1, F.col("d"))).alias("f1"), F.min(F.when(F.col("r") == 2, F.col("d"))).alias("f2"), F.min(F.when(F.col("r") == 1, F.col("h"))).alias("h"))
-        return out.select("x", "z", F.expr(pick).alias("out"))
+        f = Noises.Cells(frequency=0.07, style=style, metric=metric, jitter=jitter, seed=5)
+        out = with_fields(raster(spark, sf_dir, "evt").select("x", "z"), {"n": f}, F.col("x"), F.col("z"), seed=1234)
+        return out.select("x", "z", F.round("n", 9).alias("out"))
 
+    seed = noise.job_seed(1234, 5)
     s = _Sql("SELECT x, z, px, pz, floor(px) + i AS a, floor(pz) + j AS b, (j + 2) * 5 + i + 2 AS k FROM (SELECT event_id % 100 AS x, event_id // 100 AS z, (event_id % 100) * 0.07::DOUBLE AS px, (event_id // 100) * 0.07::DOUBLE AS pz FROM events), range(-2, 3) ti(i), range(-2, 3) tj(j)")
-    s.add(k1=f"xor(77, {_mul(f'(CAST(a AS BIGINT) & {M})', noise.PHI)})")
+    s.add(k1=f"xor({seed}, {_mul(f'(CAST(a AS BIGINT) & {M})', noise.PHI)})")
     s.mix("k1", "h1")
     s.add(k2=f"xor(h1, {_mul(f'(CAST(b AS BIGINT) & {M})', noise.HASH_Z)})")
     s.mix("k2", "h")
     s.add(k3=f"xor(h, {noise.PHI})")
     s.mix("k3", "h2")
-    s.add(d="sqrt(pow(px - (a + (h >> 8) / 16777216.0::DOUBLE), 2) + pow(pz - (b + (h2 >> 8) / 16777216.0::DOUBLE), 2))")
-    ranked = f"SELECT x, z, d, h, row_number() OVER (PARTITION BY x, z ORDER BY d, k) AS r FROM ({s.q}) q"
+    s.add(k4=f"xor(h, {noise.HASH_Z})")
+    s.mix("k4", "h4")
+    s.add(dx=f"px - (a + 0.5::DOUBLE + ((h >> 8) / 16777216.0::DOUBLE - 0.5::DOUBLE) * {jitter!r}::DOUBLE)", dz=f"pz - (b + 0.5::DOUBLE + ((h2 >> 8) / 16777216.0::DOUBLE - 0.5::DOUBLE) * {jitter!r}::DOUBLE)", u="(h4 >> 8) / 16777216.0::DOUBLE")
+    s.add(d=_METRIC[metric].replace("{x}", "dx").replace("{z}", "dz"))
+    ranked = f"SELECT x, z, d, u, row_number() OVER (PARTITION BY x, z ORDER BY d, k) AS r FROM ({s.q}) q"
     QUERIES[name] = run
-    SQL[name] = f"SELECT x, z, {pick} AS out FROM (SELECT x, z, min(d) FILTER (WHERE r = 1) AS f1, min(d) FILTER (WHERE r = 2) AS f2, min(h) FILTER (WHERE r = 1) AS h FROM ({ranked}) w GROUP BY x, z) v"
+    four = ", ".join(f"min(d) FILTER (WHERE r = {k}) AS f{k}" for k in (1, 2, 3, 4))
+    SQL[name] = f"SELECT x, z, round({pick}, 9) AS out FROM (SELECT x, z, {four}, min(u) FILTER (WHERE r = 1) AS u FROM ({ranked}) w GROUP BY x, z) v"
 
 
-_cells_query("cells_f1", "F1", "round(f1, 9)")
-_cells_query("cells_f2f1", "F2-F1", "round(f2 - f1, 9)")
-_cells_query("cells_id", "cell", "h")
+_cells_query("cells_f1", "F1", "f1")
+_cells_query("cells_f2f1", "F2-F1", "f2 - f1")
+_cells_query("cells_id", "cell", "u")
+_cells_query("cells_f4_manhattan", "F4", "f4", "manhattan", 0.8)
+_cells_query("cells_f3f2_chebyshev", "F3-F2", "f3 - f2", "chebyshev", 0.5)
+_cells_query("cells_f2_octagonal", "F2", "f2", "octagonal")
 
 # --- neighbourhoods -------------------------------------------------------------------------------
 
@@ -270,33 +292,46 @@ _window_query("win_expand_cone", lambda d: windows.expand(d, 2, "diamond", "cone
 _window_query("win_open", lambda d: windows.expand(windows.shrink(d, 1), 1), f", s AS ({_square('evt', 'min', 1)}) {_square('s', 'max', 1)}")
 _window_query("win_close", lambda d: windows.shrink(windows.expand(d, 1), 1), f", s AS ({_square('evt', 'max', 1)}) {_square('s', 'min', 1)}")
 _window_query("win_median3", lambda d: windows.median(d, 1), "SELECT x, z, s[len(s) // 2 + 1] AS v FROM (SELECT a.x, a.z, list_sort(list(b.v)) AS s FROM evt a JOIN evt b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY a.x, a.z)")
-_window_query("win_freq_split", lambda d: windows.blur_sums(d, 2).join(d.withColumnRenamed("v", "own"), ["x", "z"]).select("x", "z", (F.col("own") * F.col("n") - F.col("v")).cast("long").alias("high_n"), F.col("n").cast("long").alias("n")),
-              "SELECT a.x, a.z, CAST(any_value(a.v) * count(*) - sum(b.v) AS BIGINT) AS high_n, count(*) AS n FROM evt a JOIN evt b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.z BETWEEN a.z - 2 AND a.z + 2 GROUP BY a.x, a.z")
 _CROSS = "SELECT a.x, a.z, a.v, e.v AS e, w.v AS w, s.v AS s, n.v AS n FROM {t} a LEFT JOIN {t} e ON e.x = a.x + 1 AND e.z = a.z LEFT JOIN {t} w ON w.x = a.x - 1 AND w.z = a.z LEFT JOIN {t} s ON s.z = a.z + 1 AND s.x = a.x LEFT JOIN {t} n ON n.z = a.z - 1 AND n.x = a.x"
 _GRAD = f", g AS (SELECT x, z, v, (e - w) / 2.0::DOUBLE AS gx, (s - n) / 2.0::DOUBLE AS gz FROM ({_CROSS.format(t='evt')}) c WHERE e IS NOT NULL AND w IS NOT NULL AND s IS NOT NULL AND n IS NOT NULL)"
 _window_query("win_gradient", lambda d: windows.gradient(d), f"{_GRAD} SELECT x, z, v, gx, gz FROM g")
 
 
-def _over_gradient(name: str, build, sql: str):
-    _window_query(name, lambda d: build(windows.gradient(d)), f"{_GRAD} {sql}")
+def _field_query(name: str, build, sql: str, cut: int = 0, digits: int = 6, **options):
+    """The library's plan over the raster as a column, tile by tile, less a border of `cut` samples."""
 
+    def run(spark, sf_dir):
+        d = raster(spark, sf_dir, "evt").select("x", "z", F.col("v").cast("double").alias("v"))
+        out = over_raster(d, build(Terrain.Column("v")), section=32, **options)
+        columns = [c for c in out.columns if c not in ("x", "z")]
+        if cut:
+            size = F.broadcast(d.agg(F.max("x").alias("mx"), F.max("z").alias("mz")))
+            out = out.join(size).where((F.col("x") >= cut) & (F.col("z") >= cut) & (F.col("x") <= F.col("mx") - cut) & (F.col("z") <= F.col("mz") - cut))
+        return out.select("x", "z", *(F.round(c, digits).alias(c) for c in columns))
 
-_size = lambda: F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz"))
-_over_gradient("win_slope_mask", lambda g: g.select("x", "z", F.least(F.greatest((_size() - 1000.0) / 9000.0, F.lit(0.0)), F.lit(1.0)).alias("t")).select("x", "z", F.round(F.col("t") * F.col("t") * (3.0 - 2.0 * F.col("t")), 9).alias("mask")),
-               "SELECT x, z, round(" + _step(_clamp("(sqrt(gx * gx + gz * gz) - 1000.0::DOUBLE) / 9000.0::DOUBLE")) + ", 9) AS mask FROM g")
-_length = lambda: F.sqrt(F.col("gx") * F.col("gx") * 1e-6 + 1.0 + F.col("gz") * F.col("gz") * 1e-6)
-_over_gradient("win_normals", lambda g: g.select("x", "z", F.round(F.col("gx") * -0.001 / _length(), 9).alias("nx"), F.round(1.0 / _length(), 9).alias("ny"), F.round(F.col("gz") * -0.001 / _length(), 9).alias("nz")),
-               "SELECT x, z, round(gx * -0.001::DOUBLE / l, 9) AS nx, round(1.0::DOUBLE / l, 9) AS ny, round(gz * -0.001::DOUBLE / l, 9) AS nz FROM (SELECT *, sqrt(gx * gx * 1e-6::DOUBLE + 1.0::DOUBLE + gz * gz * 1e-6::DOUBLE) AS l FROM g)")
-_over_gradient("win_aspect", lambda g: g.select("x", "z", F.round(F.atan2(-F.col("gz"), -F.col("gx")), 8).alias("bearing")), "SELECT x, z, round(atan2(-gz, -gx), 8) AS bearing FROM g")
-_INNER = "WHERE e IS NOT NULL AND w IS NOT NULL AND s IS NOT NULL AND n IS NOT NULL"
-_window_query("win_laplacian", lambda d: windows.neighbours(d, "v").where("v_e is not null and v_w is not null and v_s is not null and v_n is not null").selectExpr("x", "z", "v_e + v_w + v_s + v_n - 4 * v as v"), f"SELECT x, z, e + w + s + n - 4 * v AS v FROM ({_CROSS.format(t='evt')}) c {_INNER}")
+    QUERIES[name] = run
+    SQL[name] = f"WITH {raster_sql('evt')} {sql}"
 
 
-@query("win_curvature_total", f"WITH {raster_sql('evt')} {_GRAD}, h AS (SELECT a.x, a.z, (e.gx - w.gx) / 2.0::DOUBLE + (s.gz - n.gz) / 2.0::DOUBLE AS v FROM g a JOIN g e ON e.x = a.x + 1 AND e.z = a.z JOIN g w ON w.x = a.x - 1 AND w.z = a.z JOIN g s ON s.z = a.z + 1 AND s.x = a.x JOIN g n ON n.z = a.z - 1 AND n.x = a.x) SELECT x, z, v FROM h")
-def _curvature(spark, sf_dir):
-    g = windows.gradient(raster(spark, sf_dir, "evt"))
-    n = windows.neighbours(g, "gx", "gz").where("gx_e is not null and gx_w is not null and gz_s is not null and gz_n is not null")
-    return n.selectExpr("x", "z", "(gx_e - gx_w) / 2.0D + (gz_s - gz_n) / 2.0D as v")
+_AROUND = "evt a JOIN evt b ON b.x BETWEEN a.x - {r} AND a.x + {r} AND b.z BETWEEN a.z - {r} AND a.z + {r}"
+_steep = "sqrt(gx * gx + gz * gz)"
+_field_query("win_gradient_field", lambda v: {"g": Terrain.Gradient(input=v)}, f"{_GRAD} SELECT x, z, gx AS g_0, gz AS g_1 FROM g", 1)
+_field_query("win_slope_mask", lambda v: {"mask": Masks.Slope(input=Terrain.Gradient(input=v), min=1000, max=10000)}, f"{_GRAD} SELECT x, z, round(" + _step(_clamp(f"({_steep} - 1000.0::DOUBLE) / 9000.0::DOUBLE")) + ", 6) AS mask FROM g", 1)
+_field_query("win_normals", lambda v: {"n": Terrain.Normals(input=Terrain.Gradient(input=v), vertical_scale=0.001)},
+             f"{_GRAD} SELECT x, z, round(gx * -0.001::DOUBLE / l, 6) AS n_0, round(1.0::DOUBLE / l, 6) AS n_1, round(gz * -0.001::DOUBLE / l, 6) AS n_2 FROM (SELECT *, sqrt(gx * gx * 1e-6::DOUBLE + 1.0::DOUBLE + gz * gz * 1e-6::DOUBLE) AS l FROM g)", 1)
+_field_query("win_aspect", lambda v: {"facing": Masks.Aspect(input=v, direction=30.0)[0], "bearing": Masks.Aspect(input=v, direction=30.0)[1]},
+             f"{_GRAD} SELECT x, z, round(atan2(-gz, -gx), 6) AS bearing, round(CASE WHEN {_steep} = 0 THEN 0 ELSE -(gx * cos(radians(30.0::DOUBLE)) + gz * sin(radians(30.0::DOUBLE))) / {_steep} END * 0.5::DOUBLE + 0.5::DOUBLE, 6) AS facing FROM g", 1)
+_SECOND = f"{_GRAD}, h AS (SELECT a.x, a.z, a.gx AS p, a.gz AS q, (e.gx - w.gx) / 2.0::DOUBLE AS xx, (s.gx - n.gx) / 2.0::DOUBLE AS xz, (s.gz - n.gz) / 2.0::DOUBLE AS zz FROM g a JOIN g e ON e.x = a.x + 1 AND e.z = a.z JOIN g w ON w.x = a.x - 1 AND w.z = a.z JOIN g s ON s.z = a.z + 1 AND s.x = a.x JOIN g n ON n.z = a.z - 1 AND n.x = a.x)"
+_flat = "CASE WHEN p * p + q * q = 0 THEN 0 ELSE ({t}) / (p * p + q * q) END"
+for _kind, _t in (("total", "xx + zz"), ("profile", _flat.replace("{t}", "xx * p * p + xz * p * q * 2 + zz * q * q")), ("plan", _flat.replace("{t}", "xx * q * q - xz * p * q * 2 + zz * p * p"))):
+    _field_query(f"win_curvature_{_kind}", lambda v, kind=_kind: {"v": Masks.Curvature(input=v, kind=kind)}, f"{_SECOND} SELECT x, z, round({_t}, 6) AS v FROM h", 2)
+_field_query("win_freq_split", lambda v: dict(zip(("low", "high"), Filters.FrequencySplit(v, 2), strict=True)),
+             f"SELECT a.x, a.z, round(any_value(a.v) - avg(b.v), 6) AS high, round(avg(b.v), 6) AS low FROM {_AROUND.format(r=2)} GROUP BY a.x, a.z")
+_field_query("win_convexity", lambda v: {"c": Masks.Convexity(input=v, radius=3)}, f"SELECT a.x, a.z, round(any_value(a.v) - avg(b.v), 6) AS c FROM {_AROUND.format(r=3)} GROUP BY a.x, a.z")
+_field_query("win_median_field", lambda v: {"v": Filters.Blur(input=v, radius=1, method="median")}, f"SELECT x, z, CAST(s[len(s) // 2 + 1] AS DOUBLE) AS v FROM (SELECT a.x, a.z, list_sort(list(b.v)) AS s FROM {_AROUND.format(r=1)} GROUP BY a.x, a.z)")
+_field_query("win_expand_map", lambda v: {"v": Filters.Expand(input=v, radius=2, radius_map=Curves.Clamp(input=(v - 30000) * 1e9))}, f"SELECT a.x, a.z, CAST(max(b.v) FILTER (WHERE a.v > 30000 OR (a.x = b.x AND a.z = b.z)) AS DOUBLE) AS v FROM {_AROUND.format(r=2)} GROUP BY a.x, a.z")
+_THERMAL6 = dict(iterations=6, talus=700.0)
+_window_query("win_laplacian", lambda d: windows.neighbours(d, "v").where("v_e is not null and v_w is not null and v_s is not null and v_n is not null").selectExpr("x", "z", "v_e + v_w + v_s + v_n - 4 * v as v"), f"SELECT x, z, e + w + s + n - 4 * v AS v FROM ({_CROSS.format(t='evt')}) c WHERE e IS NOT NULL AND w IS NOT NULL AND s IS NOT NULL AND n IS NOT NULL")
 
 
 _window_query("displace_bilinear", lambda d: windows.displace(d.select("x", "z", F.col("v").cast("double").alias("v")), 1.25, -0.5).select("x", "z", F.round("v", 6).alias("v")),
@@ -320,6 +355,10 @@ def _thermal_query(name: str, n: int):
 
 _thermal_query("erode_thermal_1it", 1)
 _thermal_query("erode_thermal_3it", 3)
+_field_query("erode_thermal_6it", lambda v: {"v": Erosion.Thermal(input=v, **_THERMAL6)}, ", t0 AS (SELECT x, z, CAST(v AS DOUBLE) AS v FROM evt), " + ", ".join(f"t{k + 1} AS ({_thermal_sql(f't{k}')})" for k in range(6)) + " SELECT x, z, round(v, 6) AS v FROM t6")
+for _name, _plan in (("erode_thermal_96", lambda v: {"v": Erosion.Thermal(input=v, iterations=96, talus=700.0)}), ("erode_hydraulic_96", lambda v: {"v": Erosion.Hydraulic(input=v / 100, iterations=96)})):
+    _field_query(_name, _plan, "SELECT 1")
+    del SQL[_name]  # SQL would be 96 self-joins deep; tests hold the lanes against each other
 
 def _hydraulic_sql() -> str:
     rain = "5.0::DOUBLE"
@@ -406,6 +445,19 @@ def _slopes(spark, sf_dir):
     return metrics.ranked(g, "v", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
+_stat("stat_band_slope", lambda d: metrics.band_slope(d, 20000, 40000).select(F.round("degrees", 6).alias("degrees"), "cells"), f"{_GRAD} SELECT round(avg(degrees(atan(sqrt(gx * gx + gz * gz)))), 6) AS degrees, count(*) AS cells FROM g WHERE v >= 20000 AND v < 40000")
+_stat("stat_min_channel", lambda d: metrics.min_channel(d.select("x", "z", ((F.col("v") > 48000) & (F.col("x") < 40)).alias("a"), ((F.col("v") > 48000) & (F.col("x") > 55)).alias("b")), "a", "b"),
+      ", p AS (SELECT x, z FROM evt WHERE v > 48000 AND x < 40), q AS (SELECT x, z FROM evt WHERE v > 48000 AND x > 55) SELECT CAST(min(abs(p.x - q.x) + abs(p.z - q.z)) AS BIGINT) AS steps FROM p, q")
+_window_query("raster_manhattan", lambda d: grids.manhattan(d.select("x", "z", (F.col("v") > 45000).alias("land"))), ", s AS (SELECT x, z FROM evt WHERE v > 45000) SELECT a.x, a.z, min(abs(a.x - s.x) + abs(a.z - s.z)) AS d1 FROM evt a LEFT JOIN s ON true GROUP BY a.x, a.z")
+
+
+@query("stat_accepted", f"WITH {raster_sql('evt')}, m AS (SELECT 'mean' AS metric, avg(v) AS value FROM evt UNION ALL SELECT 'top', max(v) FROM evt UNION ALL SELECT 'cells', count(*) FROM evt), r(metric, least, most, target) AS (VALUES ('mean', 0.0::DOUBLE, 1000.0::DOUBLE, false), ('top', 1000.0::DOUBLE, NULL, false), ('cells', NULL, 1.0::DOUBLE, true)) SELECT metric, round(value, 4) AS value, least, most, (target OR (value >= coalesce(least, value) AND value <= coalesce(most, value))) AS ok FROM m JOIN r USING (metric)")
+def _accepted(spark, sf_dir):
+    one = raster(spark, sf_dir, "evt").agg(F.avg("v").alias("mean"), F.max("v").cast("double").alias("top"), F.count(F.lit(1)).cast("double").alias("cells"))
+    m = one.select(F.expr("stack(3, 'mean', mean, 'top', top, 'cells', cells) as (metric, value)"))
+    return metrics.accepted(m, [("mean", 0.0, 1000.0, False), ("top", 1000.0, None, False), ("cells", None, 1.0, True)]).withColumn("value", F.round("value", 4))
+
+
 @query("arc_length", f"WITH {raster_sql('evt')}, s AS (SELECT z, x, abs(v - lag(v) OVER (PARTITION BY z ORDER BY x)) AS d FROM evt) SELECT z, x, CAST(coalesce(sum(d) OVER (PARTITION BY z ORDER BY x), 0) AS BIGINT) AS s FROM s")
 def _arc(spark, sf_dir):
     line = Window.partitionBy("z").orderBy("x")
@@ -432,8 +484,6 @@ def _terrain() -> Field:
 
 def terrain_job(spark, size: int = 256, section: int = 128) -> DataFrame:
     """Noise, its normals, and both erosions, exported section by section."""
-    from .field import Erosion
-
     h = _terrain()
     ridged = Noises.Ridged(frequency=0.01, octaves=3, amplitude=120)
     base = Combine.Blend(a=h, b=h + ridged, mask=Masks.Slope(input=h, min=0.2, max=1.5))
@@ -478,10 +528,10 @@ def _drain(spark, sf_dir):
     rasters = raster(spark, sf_dir, "evt").select(F.lit(0).alias("tile"), "x", "z", F.col("v").cast("double").alias("v"))
 
     def run(v):
-        parent, area = grids.coast_drain(v > _LEVEL, v)
-        return {"parent": parent, "area": area}
+        receiver, area = grids.coast_drain(v > _LEVEL, v)
+        return {"receiver": receiver, "area": area}
 
-    return grids.per_raster(rasters, "tile", run, "tile int, x long, z long, parent long, area double")
+    return grids.per_raster(rasters, "tile", run, "tile int, x long, z long, receiver long, area double")
 
 
 assert set(SQL) <= set(QUERIES) and LIFTED
