@@ -169,6 +169,35 @@ class Terrain:
         return make("grid", {**k, "values": tuple(map(float, k["values"]))}, (p,), 2)
 
 
+    @staticmethod
+    def Sample(field, x, z, spacing=1.0, seed=0):
+        """The field at points, as an array; neighbourhoods are read through (plans.sample)."""
+        from .plans.sample import sample
+
+        return sample(field, x, z, spacing, seed)
+
+    @staticmethod
+    def Mimic(input, reference, region, cell=32.0, radius=8, elevation=1.0, roughness=1.0, seed=0):
+        """The input with the mean, spread and roughness of a reference, both measured on a grid over region (x0, z0, x1, z1)."""
+        from .plans.sample import sample_grid
+
+        x0, z0, x1, z1 = region
+        size = (int((x1 - x0) // cell) + 1, int((z1 - z0) // cell) + 1)
+
+        def measured(f):
+            h = sample_grid(f, (x0, z0), size, cell, seed)
+            bend = h[1:-1, 1:-1] - (h[:-2, 1:-1] + h[2:, 1:-1] + h[1:-1, :-2] + h[1:-1, 2:]) / 4
+            return float(h.mean()), float(h.std()), float((bend**2).mean() ** 0.5) if bend.size else 0.0
+
+        (mean, spread, rough), (mean2, spread2, rough2) = measured(input), measured(reference)
+        gain = 1 + ((spread2 / spread if spread > 0 else 1) - 1) * elevation
+        out = (input - mean) * gain + (mean + (mean2 - mean) * elevation)
+        if roughness > 0 and rough > 0 and gain:
+            low, high = Filters.FrequencySplit(out, radius)
+            out = low + high * (1 + (rough2 / (rough * gain) - 1) * roughness)
+        return out
+
+
 class Noises:
     @staticmethod
     def fBm(**k):
@@ -491,6 +520,70 @@ class Erosion:
         return int(min(max(1, math.floor(written / (spacing / Erosion.WRITTEN_AT) ** 2 + 0.5)), max(written, 96)))
 
 
+    @staticmethod
+    def Coastal(input, level=0.0, beach=4.0, flatness=0.25, cliffs=0.0, cliff_height=20.0, lip=4.0, shelf=8.0, transition=1.0, smooth_underwater=0, depth=30.0):
+        """A shore line at `level`: (height, beach mask, cliff mask).
+
+        Within `beach` metres of the level the ground keeps `flatness` of its rise. Where `cliffs` is 1 it is
+        a platform `shelf` below the water and, above it, a wall that rounds off at cliff_height as the
+        ground has risen by `lip`; the two meet over `transition`. The sea floor is blurred, fully at `depth`.
+        """
+        if min(beach, lip, transition) <= 0:
+            raise PlanError("argument", "Erosion.Coastal: beach, lip and transition are over 0")
+        rise = input - level
+        far = make("curve", {"op": "abs"}, (rise,), 2)
+        shore = rise - Curves.Clamp(input=rise, min=-beach, max=beach) * (1 - flatness)
+        left = 1 - Curves.Clamp(input=rise / lip)
+        cliff = Combine.Blend(a=Combine.Min(a=rise, b=-shelf), b=Combine.Max(a=rise, b=(1 - left * left) * cliff_height), mask=Curves.Smoothstep(input=rise, min=-transition, max=transition))
+        share = Curves.Clamp(input=lift(cliffs, 2) + rise * 0)
+        height = Combine.Blend(a=shore, b=cliff, mask=share) + level
+        if smooth_underwater:
+            height = Combine.Blend(a=height, b=Filters.Blur(input=height, radius=smooth_underwater), mask=Curves.Smoothstep(input=level - height, min=0, max=depth))
+        near = lambda width: 1 - Curves.Smoothstep(input=far, min=0, max=width)
+        return height, (1 - share) * near(beach), share * near(cliff_height + shelf)
+
+    @staticmethod
+    def Snow(input, snowfall=2.0, line=None, taper=50.0, stickiness=0.6, iterations=24, melt=None):
+        """Snow that falls above a line, less what melts, and slides off steep ground: (surface, depth)."""
+        fallen = input * 0 + snowfall
+        if line is not None:
+            fallen = fallen * Curves.Smoothstep(input=input, min=line - taper, max=line + taper)
+        if melt is not None:
+            fallen = fallen * (1 - Curves.Clamp(input=melt))
+        depth = Combine.Max(a=Erosion.Thermal(input=input + fallen, talus=stickiness, iterations=iterations, strength=0.4) - input, b=0)
+        return input + depth, depth
+
+    @staticmethod
+    def Weathering(input, fracture=0.0, boulders=0.0, intensity=1.0, production=None, talus=0.7, rock=1.0, iterations=24, mass_balance=0.5, seed=0):
+        """Rock that breaks in blocks, each at its rate, and lies below as talus with boulders: (surface, depth of talus)."""
+        rate = input * 0 + 1 if production is None else production
+        if fracture > 0:
+            rate = rate * (Noises.Cells(frequency=1 / fracture, style="cell", seed=seed + 11) * 0.8 + 0.2)
+        worn = Erosion.Thermal(input=input, two_phase=True, talus=talus, rock=rock, iterations=iterations, mass_balance=mass_balance, strength=min(0.5, 0.25 * intensity), strength_map=rate)
+        if boulders <= 0:
+            return worn, worn.talus
+        round_ = Curves.Clamp(input=1 - Noises.Cells(frequency=1 / boulders, style="F1", seed=seed + 13) * 1.4)
+        return worn + Combine.Min(a=worn.talus, b=boulders / 2) * round_, worn.talus
+
+    @staticmethod
+    def Multiscale(input, region, cell=50.0, iterations=40, k=0.004, talus=0.6, diffusion=None, amount=1.0, detail=16, hardness=None, seed=0):
+        """Valleys from stream power on a coarse grid over region (x0, z0, x1, z1), channels from hydraulic erosion: (height, what the coarse pass cut)."""
+        from .operators.raster import stream_power
+        from .plans.sample import sample_grid
+
+        import numpy as np
+
+        x0, z0, x1, z1 = region
+        size = (int((x1 - x0) // cell) + 1, int((z1 - z0) // cell) + 1)
+        ground = sample_grid(input, (x0, z0), size, cell, seed)
+        worn = stream_power(ground, np.zeros(ground.shape), cell, iterations, k, 0.5, talus, 0.012 * cell * cell if diffusion is None else diffusion, refresh=4)
+        cut = Terrain.Grid(values=tuple(((worn - ground) * amount).ravel().tolist()), size=size, origin=(float(x0), float(z0)), cell=float(cell))
+        beyond = Shapes.Rect(size=(float(x1 - x0), float(z1 - z0)), at=((x0 + x1) / 2, (z0 + z1) / 2), metric="chebyshev")
+        cut = cut * (1 - Curves.Smoothstep(input=beyond, min=-cell, max=0))  # nothing at the region's edge and outside
+        height = input + cut
+        return (Erosion.Hydraulic(input=height, iterations=detail, hardness=hardness) if detail else height), cut
+
+
 class Vec:
     @staticmethod
     def Combine(*fields):

@@ -378,3 +378,77 @@ def test_hillshade_and_spectrum():
     f[0, 0] = 1
     h = np.fft.ifft2(np.fft.fft2(rng.normal(size=(128, 128))) / f**1.5).real
     assert raster.spectrum(h)[2] == pytest.approx(-3, abs=0.35)
+
+
+def test_sampling_reads_through():
+    from rasterloom.plans.sample import sample, sample_grid
+
+    h = Noises.fBm(frequency=0.03, octaves=3, amplitude=20)
+    x, z = np.array([3.0, 10.5, 40.0]), np.array([7.0, -2.25, 11.0])
+    plain = sample(h, x, z, seed=5)
+    assert np.allclose(sample(Filters.Blur(input=Erosion.Thermal(input=h), radius=4), x, z, seed=5), plain) and not sample(Erosion.Thermal(input=h).talus, x, z).any()
+    moved = Filters.Displace(input=h, by=Vec.Combine(Terrain.Const(value=2.0), h * 0.1))
+    assert np.allclose(sample(moved, x, z, seed=5), sample(h, x + 2, z + plain * 0.1, seed=5))
+    g = sample(Terrain.Gradient(input=h * 2), x, z, 0.5, 5)
+    assert np.allclose(g[:, 0], sample(h, x + 0.5, z, seed=5) * 2 - sample(h, x - 0.5, z, seed=5) * 2)
+    assert np.allclose(sample_grid(h, (0, 0), (8, 6), 1.0, 5), block({"h": h}, (0, 0), (8, 6), 1.0, 5, np.float64)[0])
+    mixed = Combine.Blend(a=h, b=Vec.Combine(h, h).z * 3, mask=h.gradient.x)
+    assert sample(mixed, x, z, seed=5)[0] == pytest.approx(block({"f": mixed}, (3, 7), (1, 1), 1.0, 5, np.float64)[0][0, 0])
+
+
+def test_composed_erosion():
+    h = Noises.fBm(frequency=0.02, octaves=3, amplitude=40, offset=10)
+    base = block({"h": h}, (0, 0), (40, 40), 1.0, 2, np.float64)[0]
+    at = lambda f: block({"f": f}, (0, 0), (40, 40), 1.0, 2, np.float64)[0]
+    surface, depth = Erosion.Snow(h, snowfall=3.0, iterations=8)
+    assert (at(depth) >= 0).all() and np.allclose(at(surface), base + at(depth)) and 0 < at(depth).mean() < 6
+    none, _ = Erosion.Snow(h, line=1000.0, iterations=2, stickiness=50.0)
+    assert np.allclose(at(none), base)
+    shore, beach, cliff = Erosion.Coastal(h, level=10.0, beach=4.0, flatness=0.25)
+    near = abs(base - 10) < 4
+    assert np.allclose(at(shore)[near], 10 + (base - 10)[near] * 0.25) and at(beach)[abs(base - 10) > 4].max() == 0 and not at(cliff).any()
+    worn, talus = Erosion.Weathering(h, fracture=8.0, boulders=4.0, iterations=6)
+    assert (at(talus) >= -1e-9).all() and np.isfinite(at(worn)).all()
+    carved, cut = Erosion.Multiscale(h * 3, (0.0, 0.0, 400.0, 300.0), cell=25.0, iterations=10, detail=0)
+    assert block({"c": cut}, (0, 0), (400, 300), 1.0, 2)[0].min() < 0 and block({"c": cut}, (500, 0), (5, 5), 1.0, 2)[0].max() == 0
+    like = Terrain.Mimic(h, h * 2 + 5, (0.0, 0.0, 640.0, 640.0), roughness=0.0, seed=2)
+    assert np.allclose(at(like), base * 2 + 5, rtol=1e-6)
+
+
+def test_fields_around_curves(spark):
+    from rasterloom.operators import curves
+
+    rng = np.random.default_rng(4)
+    points = [(c, i, float(x), float(z), float(10 - i), 1.0 + i) for c in (1, 2) for i, (x, z) in enumerate(rng.random((5, 2)) * 30)]
+    df = spark.createDataFrame(points, "curve int, i int, x double, z double, level double, half_width double")
+    cells = spark.createDataFrame([(x, z) for z in range(30) for x in range(30)], "x long, z long")
+    got = {(r.x, r.z): r for r in curves.curve_field(cells, df, 5.0, 4.0).collect()}
+    for x in range(30):
+        for z in range(30):
+            best = None
+            for p, q in zip(points, points[1:], strict=False):
+                if p[0] == q[0]:
+                    d = np.subtract(q[2:4], p[2:4])
+                    t = min(max(np.dot(np.subtract((x, z), p[2:4]), d) / np.dot(d, d), 0), 1)
+                    away = float(((np.subtract((x, z), p[2:4]) - t * d) ** 2).sum())
+                    best = min(best, (away, p[0], p[1], p[4] + (q[4] - p[4]) * t)) if best else (away, p[0], p[1], p[4] + (q[4] - p[4]) * t)
+            if best[0] <= 25 - 1e-9:
+                r = got[x, z]
+                assert r.curve == best[1] and r.d2 == pytest.approx(best[0]) and r.level == pytest.approx(best[3])
+            elif best[0] > 25 + 1e-9:
+                assert (x, z) not in got
+
+
+def test_tiles_of_tables_match_blocks(spark):
+    """However a table is cut, a plan gives what it gives over the whole array; gaps are an error."""
+    from rasterloom.plans.tables import over_raster
+
+    rng = np.random.default_rng(8)
+    a = rng.random((37, 45)) * 30
+    df = spark.createDataFrame([(x, z, float(a[z, x])) for z in range(37) for x in range(45)], "x long, z long, v double")
+    v = Terrain.Column("v")
+    plan = {"t": Erosion.Thermal(input=v, iterations=5, talus=2.0, two_phase=True), "m": Filters.Expand(input=v, radius=2, shape="octagon"), "s": Strata.Apply(v, step=5.0, smoothness=2)[0]}
+    one, many = (over_raster(df, plan, section=s).orderBy("z", "x").toPandas() for s in (64, 1))
+    assert np.allclose(one, many) and np.allclose(one["t"].to_numpy().reshape(37, 45), stencils.thermal(a, 5, talus=2.0, two_phase=True)[0]) and np.allclose(one["m"].to_numpy().reshape(37, 45), stencils.expand(a, 2, "octagon"))
+    with pytest.raises(Exception, match="gaps"):
+        over_raster(df.where("not (x = 7 and z = 7)"), plan).count()
