@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_PUNCT, arrow_rows, claim, table, text_bytes, tokens
+from .common import IS_PUNCT, LOWER, arrow_rows, claim, release, table, text_bytes, tokens
 
 TREES, DEPTH, BINS, LEAST_LEAF, SAMPLE, THRESHOLD = 40, 9, 32, 4, 20_000, 0.5
 #: Dictionary words are on this share of the documents at least, and have WORD_LETTERS letters.
@@ -149,38 +149,46 @@ class Words:
         return covered / letters if letters else 0.0
 
 
+#: Distinct words a task holds before it sends their counts.
+HELD_WORDS = 150_000
+
+
 def _word_counts(batches):
-    """(word, n): in how many of a task's documents each word of letters is."""
+    """(word, n): in how many of a task's documents each word of letters is. Words are held as arrays by length."""
     claim(__name__)
-    held: dict[bytes, int] = {}
     lo, hi = WORD_LETTERS
-    for b in batches:
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in range(lo, hi + 1)}
+
+    def merged(parts):
+        word, index = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        return word, np.bincount(index, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+
+    def sent():
+        for n in held:
+            if held[n]:
+                word, count = merged(held[n])
+                held[n] = []
+                for at in range(0, len(word), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(word[at : at + 50_000].astype(f"U{n}"), pa.string()), pa.array(count[at : at + 50_000])], names=["word", "n"])
+
+    for k, b in enumerate(batches, 1):
         raw, offsets = text_bytes(b.column(0))
-        low = raw | np.where((raw >= 65) & (raw <= 90), 32, 0).astype(np.uint8)
         starts, ends, doc = tokens(raw, offsets, IS_PUNCT)
         size = ends - starts
-        on = (size >= lo) & (size <= hi)
-        starts, size, doc = starts[on], size[on], doc[on]
-        for n in range(lo, hi + 1):
+        for n in held:
             at = np.flatnonzero(size == n)
-            if not len(at):
-                continue
-            letters = low[starts[at][:, None] + np.arange(n)]
+            letters = LOWER[raw[starts[at][:, None] + np.arange(n)]]
             fine = ((letters >= 97) & (letters <= 122)).all(axis=1)
-            word = np.ascontiguousarray(letters[fine]).view(f"S{n}").ravel()
-            word, index = np.unique(word, return_inverse=True)
-            pair = np.unique((doc[at][fine] * np.int64(max(1, len(word)))) + index)
-            for w, k in zip(word.tolist(), np.bincount(pair % max(1, len(word)), minlength=len(word)).tolist(), strict=True):
-                held[w] = held.get(w, 0) + k
-        if len(held) > 400_000:
-            yield _word_batch(held)
-            held = {}
-    if held:
-        yield _word_batch(held)
-
-
-def _word_batch(held):
-    return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            if fine.any():
+                word, index = np.unique(np.ascontiguousarray(letters[fine]).view(f"S{n}").ravel(), return_inverse=True)
+                pair = np.unique(doc[at][fine] * np.int64(len(word)) + index)
+                held[n].append((word, np.bincount(pair % len(word), minlength=len(word))))
+        if k % 8 == 0:
+            held = {n: [merged(p)] if p else [] for n, p in held.items()}
+            if sum(len(w) for p in held.values() for w, _ in p) > HELD_WORDS:
+                yield from sent()
+    yield from sent()
+    release()
 
 
 def dictionary(docs: DataFrame, text: str = "text", share: float = WORD_SHARE) -> Words:
