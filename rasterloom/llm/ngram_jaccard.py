@@ -46,7 +46,7 @@ from .common import U, arrow_rows, claim, gram_hashes, hot_join, mix64, table, t
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 75, 0.02
-POSTINGS, BUCKETS, FLUSH = 2_500_000, 32, 500_000
+POSTINGS, BUCKETS, FLUSH = 2_000_000, 32, 500_000
 #: What a list entry costs to read in a block comparison, in rows shuffled; a subset or list entry to write costs one.
 SCAN_COST = 0.001
 #: Shingles in a block of sets that is compared with another, and columns of the comparison's matrices.
