@@ -117,13 +117,23 @@ def release() -> None:
 
 
 def claim(owner: str) -> None:
-    """Called as a module's task begins: a reused worker gives back what other modules' tasks have left."""
+    """Called as a task or group begins: a reused worker gives back what the one before has left, and other modules' caches."""
     if _OWNER != [owner]:
         _OWNER[:] = [owner]
         for c in _CACHES:
             c.clear()
+    release()
+
+
+def tidy(run):
+    """A function for mapInArrow that gives memory back when its task ends, so that an idle worker holds little."""
+
+    def tidied(batches):
+        yield from run(batches)
         release()
 
+    return tidied
+
 
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that nearby hashes differ in all bits."""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_PUNCT, U, arrow_rows, claim, mix64, table, text_bytes, token_hashes, tokens
+from .common import IS_PUNCT, U, arrow_rows, claim, mix64, table, text_bytes, tidy, token_hashes, tokens
 
 WIDE, SUBSETS = 8, 64
 #: The band: terms in at least LEAST (and two) and at most MOST of all documents.
@@ -84,7 +84,7 @@ def _count(batches):
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> np.ndarray:
     """The hashes of the terms in the band, sorted: at most (words a document) / least of them."""
     total = docs.count()
-    held = docs.select(F.col(text).alias("text")).mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    held = docs.select(F.col(text).alias("text")).mapInArrow(tidy(_count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     got = held.where((F.col("n") >= max(2, least * total)) & (F.col("n") <= max(2, most * total))).select("term").toArrow()
     return np.sort(got["term"].to_numpy().view(U))
 
@@ -275,11 +275,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     parts = min(RANGES, max(1, -(-docs.count() // ROWS)))
     cuts = docs.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.float64).astype(np.int64)))
-    first = docs.select("doc_id").mapInArrow(_firsts(bounds), "part long, first long").groupBy("part").agg(F.min("first").alias("first")).orderBy("part").toArrow()
+    first = docs.select("doc_id").mapInArrow(tidy(_firsts(bounds)), "part long, first long").groupBy("part").agg(F.min("first").alias("first")).orderBy("part").toArrow()
     heads = spark.sparkContext.broadcast((first["first"].to_numpy(), first["part"].to_numpy()))
-    dealt = docs.mapInArrow(_deal(bounds, heads), "part long, halo boolean, doc_id long, text string").repartition(parts, "part")
+    dealt = docs.mapInArrow(tidy(_deal(bounds, heads)), "part long, halo boolean, doc_id long, text string").repartition(parts, "part")
     dealt = dealt.sortWithinPartitions("part", "halo", F.col("doc_id").isNull(), "doc_id", "text")
-    return dealt.mapInArrow(_fingerprint(band), SCHEMA)
+    return dealt.mapInArrow(tidy(_fingerprint(band)), SCHEMA)
 
 
 def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:

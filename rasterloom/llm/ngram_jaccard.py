@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, arrow_rows, claim, gram_hashes, hot_join, mix64, table, text_bytes, token_hashes, tokens, written
+from .common import U, arrow_rows, claim, gram_hashes, hot_join, mix64, table, text_bytes, tidy, token_hashes, tokens, written
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 75, 0.02
@@ -274,7 +274,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     """(doc_id, n, sig) of all documents, and the classes that could link: sig, n, single, shared, scan."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    own = written(docs.mapInArrow(_sets(words), "doc_id long, n long, sig long, hot boolean"), "sets")
+    own = written(docs.mapInArrow(tidy(_sets(words)), "doc_id long, n long, sig long, hot boolean"), "sets")
     sets = own.where("not hot").select("doc_id", "n", "sig")
     found, total = sets.agg(F.count(F.lit(1)), F.sum("n")).first()
     hot = own.where("hot").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, HOT * found)).toArrow()
@@ -282,7 +282,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     order = np.argsort(value)
     hot = spark.sparkContext.broadcast((value[order], held[order]))
     buckets = max(BUCKETS, -(-(total or 0) // POSTINGS))
-    posted = docs.mapInArrow(_post(words, buckets, hot), "kind int, bucket int, blob binary")
+    posted = docs.mapInArrow(tidy(_post(words, buckets, hot)), "kind int, bucket int, blob binary")
     # one row of a bucket stands for up to a million postings
     cold = posted.where("kind = 0").groupBy("bucket").applyInArrow(_counted(buckets), "kind int, bucket int, blob binary")
     if len(value):
@@ -427,7 +427,7 @@ def links(left: DataFrame, percent: int = PERCENT) -> DataFrame:
     row = F.struct("sig", "comp", (F.col("own") > lo).cast("int").alias("part"), F.col("n"), "shared")
     arrow_rows(spark, 8)
     rows = at.groupBy("hub", lo.alias("lo"), hi.alias("hi")).agg(F.collect_list(row).alias("rows")).select("rows")  # two blocks, bounded by BLOCK_SHINGLES
-    more = written(rows.mapInArrow(_compare(percent), "a long, b long"), "more")
+    more = written(rows.mapInArrow(tidy(_compare(percent)), "a long, b long"), "more")
     arrow_rows(spark)
     return components(star.unionByName(more))
 

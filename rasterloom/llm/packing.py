@@ -20,6 +20,7 @@ columns are not read. Ties in rank are broken by doc_id, piece and checksum.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import zlib
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cache, claim, table, written
+from .common import arrow_rows, cache, claim, table, tidy, written
 
 CAPACITY, END_ID = 2048, 0
 assert array("I").itemsize == 4 and sys.byteorder == "little"
@@ -59,6 +60,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, keep: int = 500_000, longest: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; every thread would hold memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.longest, self.known = Tokenizer.from_file(path), keep, longest, {}
@@ -70,7 +72,8 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # some at a time, as what the library returns for a unit is large
+        return [array("I", e.ids).tobytes() for at in range(0, len(texts), 2048) for e in self.tokenizer.encode_batch_fast(texts[at : at + 2048], add_special_tokens=False)]
 
     def _units(self, text: str | None) -> list[str] | None:
         if not text:
@@ -118,7 +121,7 @@ def _pieces(path: str, capacity: int):
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece: document, number in it, ids before it, length, checksum of its ids."""
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(vocabulary, capacity), PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_pieces(vocabulary, capacity)), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -205,7 +208,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, shard_rows:
     within = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = cut.withColumn("r", F.row_number().over(within) - 1).join(held, ["length", "shard"])
     columns = [x.split()[0] for x in PIECES.split(", ")]
-    return ranked.select(*columns, (F.col("r") + F.col("before")).cast("long").alias("rank")).mapInArrow(_assign(runs), PACKED)
+    return ranked.select(*columns, (F.col("r") + F.col("before")).cast("long").alias("rank")).mapInArrow(tidy(_assign(runs)), PACKED)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:

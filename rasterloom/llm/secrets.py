@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_PUNCT, LOWER, arrow_rows, claim, release, table, text_bytes, tokens
+from .common import IS_PUNCT, LOWER, arrow_rows, claim, release, table, text_bytes, tidy, tokens
 
 TREES, DEPTH, BINS, LEAST_LEAF, SAMPLE, THRESHOLD = 40, 9, 32, 4, 20_000, 0.5
 #: Dictionary words are on this share of the documents at least, and have WORD_LETTERS letters.
@@ -194,7 +194,7 @@ def _word_counts(batches):
 def dictionary(docs: DataFrame, text: str = "text", share: float = WORD_SHARE) -> Words:
     """The words on at least `share` of all documents: at most (words a document) / share of them."""
     arrow_rows(docs.sparkSession)
-    held = docs.select(F.col(text).alias("text")).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    held = docs.select(F.col(text).alias("text")).mapInArrow(tidy(_word_counts), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = docs.count()
     return Words(r[0] for r in held.where(F.col("n") >= max(2, share * total)).select("word").collect())
 
@@ -404,7 +404,7 @@ def scan(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "t
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path")).mapInArrow(tidy(run), SCHEMA)
 
 
 def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -423,7 +423,7 @@ def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str = "sou
                     texts[k] = texts[k][:a] + MASK + texts[k][e:]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_PUNCT, U, arrow_rows, claim, gram_hashes, release, table, text_bytes, token_hashes, tokens, written
+from .common import IS_PUNCT, U, arrow_rows, claim, gram_hashes, release, table, text_bytes, tidy, token_hashes, tokens, written
 
 BITS, SAMPLE, SAMPLE_BYTES, THRESHOLD = 20, 20_000, 64 << 20, 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         fit = docs.sparkSession.createDataFrame([(i,) for i in _bounded(sizes, sample_bytes)], "f long")
         rows = rows.join(F.broadcast(fit), F.col("i") == F.col("f"), "left_semi")
     rows = own.join(F.broadcast(rows), F.col("doc_id") == F.col("i")).select("doc_id", "text", "label")
-    got = rows.mapInArrow(_sampled, "doc_id long, label int, slots binary").toArrow()
+    got = rows.mapInArrow(tidy(_sampled), "doc_id long, label int, slots binary").toArrow()
     ids, marks, flat = got["doc_id"].to_pylist(), got["label"].to_pylist(), got["slots"].combine_chunks()
     if isinstance(flat, pa.ChunkedArray):
         flat = pa.concat_arrays(flat.chunks) if flat.num_chunks else pa.array([], pa.binary())
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, held_out, score and predicted for each document."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(spark.sparkContext.broadcast(model)), "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_scores(spark.sparkContext.broadcast(model))), "doc_id long, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -169,7 +169,7 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
             (s,) = scores([b.select(["doc_id", "text"])])
             yield b.filter(pa.array(s.column(1).to_numpy() < threshold))
 
-    return docs.select(*order).mapInArrow(run, docs.select(*order).schema).select(*docs.columns)
+    return docs.select(*order).mapInArrow(tidy(run), docs.select(*order).schema).select(*docs.columns)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
