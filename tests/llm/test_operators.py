@@ -684,6 +684,56 @@ def test_tree_weights_by_hand():
     assert tree.log10(np.array([0x0061], ctw.U))[0] == pytest.approx(math.log10(p), abs=1e-6)
 
 
+@pytest.mark.parametrize("depth", [1, 3])
+def test_tree_is_the_plain_recursion(depth):
+    """Weights and mixtures node by node, from counts in dicts, for seen and unseen contexts and bytes."""
+    texts = ["abracadabra", "abra cad", "", "banana band", "cab"]
+    raw, offsets = text_bytes(pa.array(texts))
+    keys = ctw.gram_keys(raw, offsets, depth)
+    count = defaultdict(lambda: [0, 0])  # (context, bits so far) -> zeros, ones
+    children = defaultdict(set)
+
+    def path(key):
+        before = [(key >> 8 * (k + 1)) & 255 for k in range(depth)]  # the nearest byte first
+        return [tuple(before[:d]) for d in range(depth + 1)]
+
+    bits = lambda key: format(key & 255, "08b")
+    for key in map(int, keys):
+        contexts = path(key)
+        for k, bit in enumerate(bits(key)):
+            for d, c in enumerate(contexts):
+                count[c, bits(key)[:k]][int(bit)] += 1
+                if d:
+                    children[contexts[d - 1], bits(key)[:k]].add((c, bits(key)[:k]))
+    kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+
+    def weighted(node):  # log Pw, and the weight of the node's own estimate
+        own = kt(count[node])
+        if not children[node]:
+            return own, 1.0
+        below = sum(weighted(c)[0] for c in children[node])
+        return np.logaddexp(own, below) - math.log(2), 1 / (1 + math.exp(below - own))
+
+    def one(node_path, k):  # probability of a 1
+        c, rest = node_path[0], node_path[1:]
+        n = count[c, k]
+        p = (n[1] + 0.5) / (sum(n) + 1)
+        if not rest or (rest[0], k) not in children[c, k]:
+            return p
+        w = weighted((c, k))[1]
+        return w * p + (1 - w) * one(rest, k)
+
+    tree = ctw.Tree([np.unique(keys & ctw.U((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(depth + 1)])
+    asked = [int(k) for k in np.unique(keys)] + [(int(keys[5]) & ~255) | 0x7A, (0x7A7A7A7A << 8 & ((1 << 8 * (depth + 1)) - 1)) | 0x61]
+    for key, got in zip(asked, tree.log10(np.array(asked, ctw.U)), strict=True):
+        expected = 0.0
+        for k, bit in enumerate(bits(key)):
+            seen = [c for c in path(key) if sum(count.get((c, bits(key)[:k]), (0, 0)))]
+            p = one(seen, bits(key)[:k]) if seen else 0.5
+            expected += math.log10(p if bit == "1" else 1 - p)
+        assert got == pytest.approx(expected, abs=2e-5)
+
+
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(ctw, "HOT_WORDS", 30)  # so that most words go through the buckets
     rnd = random.Random(13)
