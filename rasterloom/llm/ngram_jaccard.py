@@ -409,24 +409,25 @@ def links(left: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = written(components(star), "star-components")
     # members with their components; groups that are not one component yet
     known = lambda v, c: comp.select(F.col("v").alias(v), F.col("comp").alias(c))
-    at = groups.join(known("v1", "c1"), groups["sig"] == F.col("v1"), "left").join(known("v2", "c2"), groups["hub"] == F.col("v2"), "left")
+    at = hot_join(groups, "hub", known("v2", "c2"), "v2").join(known("v1", "c1"), F.col("sig") == F.col("v1"), "left")
     at = written(at.select("hub", "sig", F.coalesce("c1", "sig").alias("comp"), F.coalesce("c2", "hub").alias("main")), "members")
     open_ = at.where("comp <> main").select(F.col("hub").alias("h")).distinct()
-    at = at.join(open_, at["hub"] == open_["h"]).drop("h")
+    at = hot_join(at, "hub", written(open_, "open-hubs"), "h", "inner").drop("h")
     at = at.unionByName(at.select("hub", F.col("hub").alias("sig"), F.col("main").alias("comp"), "main").distinct()).withColumn("other", F.col("comp") != F.col("main"))
     sets = left.select(F.col("sig").alias("s"), "n", "shared")
     at = written(at.join(sets, at["sig"] == sets["s"]).drop("s", "main"), "open")
     size = at.groupBy("hub").agg(*[F.ceil(F.sum(F.when(F.col("other") == k, F.size("shared")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias(c) for k, c in ((True, "others"), (False, "mains"))]).withColumnRenamed("hub", "h")
-    at = at.join(size, at["hub"] == size["h"]).drop("h")
+    at = hot_join(at, "hub", written(size, "blocks"), "h", "inner").drop("h")
     block = F.pmod(F.xxhash64("sig"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int")
     # blocks 0.. are of the other components, those from `others` on of the hub's; two of the latter hold no open pair
     at = at.withColumn("own", F.when(F.col("other"), block).otherwise(block + F.col("others")))
     mates = F.when(F.col("other"), F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))
     at = at.withColumn("mate", F.explode(mates))
-    lo, hi = F.least("own", "mate"), F.greatest("own", "mate")
-    row = F.struct("sig", "comp", (F.col("own") > lo).cast("int").alias("part"), F.col("n"), "shared")
+    at = at.withColumns({"lo": F.least("own", "mate"), "hi": F.greatest("own", "mate")})
+    row = F.struct("sig", "comp", (F.col("own") > F.col("lo")).cast("int").alias("part"), F.col("n"), "shared")
     arrow_rows(spark, 8)
-    rows = at.groupBy("hub", lo.alias("lo"), hi.alias("hi")).agg(F.collect_list(row).alias("rows")).select("rows")  # two blocks, bounded by BLOCK_SHINGLES
+    # dealt by pairs of blocks: a deal by hub would do for this grouping, and leave all blocks of a group to one task
+    rows = at.repartition("hub", "lo", "hi").groupBy("hub", "lo", "hi").agg(F.collect_list(row).alias("rows")).select("rows")  # two blocks, bounded by BLOCK_SHINGLES
     more = written(rows.mapInArrow(tidy(_compare(percent)), "a long, b long"), "more")
     arrow_rows(spark)
     return components(star.unionByName(more))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from rasterloom.llm import ctw, fingerprints, line_dedup, ngram_jaccard, nn_descent, packing, secrets, toxicity, warc  # noqa: E402
+from rasterloom.llm import common, ctw, fingerprints, line_dedup, ngram_jaccard, nn_descent, packing, secrets, toxicity, warc  # noqa: E402
 from rasterloom.llm import sentencepiece_viterbi as sp  # noqa: E402
 from rasterloom.llm.common import text_bytes  # noqa: E402
 
@@ -198,6 +199,22 @@ def test_jaccard_with_shingles_in_most_classes(spark, monkeypatch):
     assert any(isinstance(v, tuple) and len(v[0]) for v in seen), "no shingle was frequent enough"
 
 
+def test_jaccard_with_hot_hubs(spark, monkeypatch):
+    """A hub with most rows: they stay where they are, and its pairs of blocks are dealt one by one."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", 500)
+    rows, plans, write = near_copies(7, 260, 3, 0.7), {}, ngram_jaccard.written
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_jaccard, "written", written)
+    got = ngram_jaccard.similarity_components(docs(spark, [(i, t, "s") for i, t in rows]))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows)
+    assert re.search(r"hashpartitioning\(hub#\d+L?, lo#\d+L?, hi#\d+L?", plans["more"])
+
+
 def test_jaccard_with_over_65536_lone_shingles(spark, monkeypatch):
     """Shingles that one text alone holds are counted whole, however many lie in a bucket."""
     monkeypatch.setattr(ngram_jaccard, "BUCKETS", 1)
